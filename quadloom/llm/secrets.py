@@ -74,13 +74,27 @@ def random_strings(n: int = 3000, seed: int = 11) -> list[str]:
     return ["".join(rng.choice(list(alphabets[k % len(alphabets)]), rng.integers(20, 48))) for k in range(n)]
 
 
-def ordinary_strings(words: list[str], n: int = 3000, seed: int = 12) -> list[str]:
+#: Words of ordinary identifiers, labelled negatives beside the corpus's own words.
+IDENTIFIER_WORDS = (
+    "account action address after align allow array base before begin block body buffer button cache call change char check child class clean client close code "
+    "column command config content count create current data date default delete depth device digest display document domain download element empty enable end "
+    "entry error event exception export field file filter first flag folder format from function get group handle header height identifier image import index "
+    "init input insert instance item join key language last layout length level library limit line link list load local lock logger main manager map match message "
+    "method mode model module name network next node normal number object offset open option order ordinary output package page parent parse password path pattern "
+    "point position prefix process project property protocol query queue random range read record reference register remove render request reset response result "
+    "return root row sample schema scope search section select server service session set size sort source src start state status store stream string style system "
+    "table target task template test text thread time title token type update upload url user util value vector version view visible weight width window word worker write"
+).split()
+
+
+def ordinary_strings(words: list[str], n: int = 6000, seed: int = 12) -> list[str]:
     """Labelled negatives: the words themselves, and identifiers and paths joined from them."""
     rng = np.random.default_rng(seed)
-    words = [w for w in words if w.isascii() and w.replace("-", "").isalpha()] or ["name", "value", "index", "count"]
+    words = [*IDENTIFIER_WORDS, *(w for w in words if w.isascii() and w.replace("-", "").isalpha())]
     out = list(words)
     for k in range(n):
-        some = [words[i] for i in rng.integers(0, len(words), rng.integers(2, 5))]
+        pool = IDENTIFIER_WORDS if k % 2 else words
+        some = [pool[i] for i in rng.integers(0, len(pool), rng.integers(2, 6))]
         joint = ("_", "-", "/", "")[k % 4]
         some = [w.capitalize() for w in some] if joint == "" else some
         out.append(joint.join(some) + (str(rng.integers(0, 2100)) if k % 5 == 0 else ""))
