@@ -80,6 +80,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select([F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def sparse(df: DataFrame, key: Column, most: int, n: int) -> DataFrame:
+    """Rows whose key hashes low, about four times ``most`` of ``n``: what tasks send for a bounded sample stays bounded, however many tasks there are."""
+    share = min(1.0, 4 * most / max(1, n))
+    return df if share == 1.0 else df.where(F.shiftrightunsigned(F.xxhash64(key, F.lit("sample")), 1) < F.lit(int(share * ((1 << 63) - 1))))
+
+
 def null_safe_id(column: str) -> Column:
     """An id for joins in which null equals null."""
     return F.coalesce(F.col(column), F.lit(-(1 << 63)))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm import bytesvec as bv
-from quadloom.llm.common import batch, pick, small_batches
+from quadloom.llm.common import batch, pick, small_batches, sparse
 
 WINDOW, MIN_WORDS, MAX_REPEATED = 5, 10, 20
 SYMBOLS = b"#*$%&|<>"
@@ -126,8 +126,10 @@ def model_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """Fit on at most ``most`` labelled documents of each label: those whose id hashes least."""
     chosen = None
     marks = pick(labels, id=id_col, y=label_col).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
+    sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     for y in (0, 1):
-        some = marks.where(F.col("y") == y).withColumn("k", F.xxhash64("id")).orderBy("k", "id").limit(most)
+        own = sparse(marks.where(F.col("y") == y), F.col("id"), most, sizes.get(y, 0))
+        some = own.withColumn("k", F.xxhash64("id", F.lit("sample"))).orderBy("k", "id").limit(most)
         chosen = some if chosen is None else chosen.union(some)
     picked = {r["id"]: r["y"] for r in chosen.collect()}
     if not picked:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm import bytesvec as bv
-from quadloom.llm.common import batch, pick, small_batches
+from quadloom.llm.common import batch, pick, small_batches, sparse
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -103,7 +103,7 @@ def ordinary_strings(words: list[str], n: int = 6000, seed: int = 12) -> list[st
 
 def model_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS) -> np.ndarray:
     """Train on generated random strings and on the words of ``most`` documents at most: those whose id hashes least."""
-    chosen = pick(docs, doc_id=id_col, text=text_col).select(F.xxhash64("doc_id").alias("k"), F.substring("text", 1, 4000).alias("text")).orderBy("k", "text").limit(most)
+    chosen = sparse(pick(docs, doc_id=id_col, text=text_col), F.col("doc_id"), most, docs.count()).select(F.xxhash64("doc_id", F.lit("sample")).alias("k"), F.substring("text", 1, 4000).alias("text")).orderBy("k", "text").limit(most)
     words: list[str] = []
     for row in chosen.collect():
         text = row["text"] or ""
