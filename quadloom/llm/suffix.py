@@ -274,8 +274,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = pick(docs, doc_id=id_col, text=text_col).withColumns({"id": null_safe_id("doc_id"), "th": F.xxhash64("text")})
     rows = written(keyed.where(F.octet_length("text") >= LENGTH).select("id", "th", "text").mapInArrow(_anchor_rows, "id long, th long, lo long, n int, h long, c long"), "anchors")
     groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("total"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("total > 1")
-    mine = rows.join(groups.select("h", (F.col("c0") == F.col("c1")).alias("uniform")), "h")
-    mine = written(mine, "repeated")
+    # a table of its own, so that the join has an exchange on both sides and the rows of a hot anchor can be split
+    groups = written(groups.select("h", (F.col("c0") == F.col("c1")).alias("uniform")), "groups")
+    mine = written(rows.join(groups, "h"), "repeated")
     mixed = mine.where(~F.col("uniform"))
     contexts = written(mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "th", "lo", "n")).alias("at")), "contexts")
     sizes = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("different"))
