@@ -100,7 +100,7 @@ def read_back(made: DataFrame, template: Template = Template()) -> DataFrame:
 
     def turn(x: Column) -> Column:
         body = F.substring(x, F.lit(1), F.char_length(x) - F.lit(len(template.end)))
-        cut = F.locate(template.after_role, body) if False else F.instr(body, template.after_role)
+        cut = F.instr(body, template.after_role)
         role = unescaped(F.replace(F.substring(body, F.lit(1), cut - 1), F.lit(template.newline), F.lit("\n")))
         text = unescaped(F.substring(body, cut + F.lit(len(template.after_role)), F.char_length(body)))
         return F.struct(role.alias("role"), text.alias("text"))
