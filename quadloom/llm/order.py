@@ -10,7 +10,9 @@ reader can begin or resume at any slot with one seek, and the order for a new
 epoch needs a new key only.
 
 A record is 16 bytes of header (doc_id, sequence number in its text, ids used;
-little-endian) and the ids.  Texts without tokens (null, empty) make no
+little-endian) and the ids.  Shards are binary files of records, each closed by
+one byte, ``\\n``: Spark's text writer puts it there, and commits files so that a
+lost executor leaves no half of one.  The stride counts it.  Texts without tokens (null, empty) make no
 sequence; null ids are written as the least long; repeated rows are sequences of their own.
 """
 
@@ -37,6 +39,11 @@ ROUNDS = 6
 _NULL_ID = -(1 << 63)
 
 
+def stride(length: int = LENGTH) -> int:
+    """Bytes from one record of a shard to the next."""
+    return HEADER + 2 * length + 1
+
+
 def round_keys(key: str) -> np.ndarray:
     raw = b"".join(hashlib.sha256(f"{key}/{r}".encode()).digest()[:8] for r in range(ROUNDS))
     return np.frombuffer(raw, "<u8")
@@ -112,20 +119,25 @@ def training_order(docs: DataFrame, vocabulary_path: str, key: str, length: int
 
     placed = made.mapInArrow(place, "slot long, doc_id long, part int, n_tokens int, record binary")
     shards = max(1, -(-n // shard))
-    stride = HEADER + 2 * length
     rows = placed.withColumn("shard", F.floor(F.col("slot") / shard).cast("int"))
-    ordered = rows.repartitionById(shards, "shard").sortWithinPartitions("slot")
-    return ordered.select("slot", "shard", (F.col("slot") % shard * stride).alias("byte_offset"), "doc_id", "part", "n_tokens", "record")
+    ordered = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "slot")
+    return ordered.select("slot", "shard", (F.col("slot") % shard * stride(length)).alias("byte_offset"), "doc_id", "part", "n_tokens", "record")
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
-    """Shards as Parquet files of fixed-size records under ``path/shard=...``, in slot order, through Spark's committing writer."""
-    ordered.write.partitionBy("shard").parquet(path)
-
-
-def read_from(spark: SparkSession, path: str, slot: int, shard: int = SHARD) -> DataFrame:
-    """The records from ``slot`` on, in order; earlier shards are not opened."""
-    return spark.read.parquet(path).where((F.col("shard") >= slot // shard) & (F.col("slot") >= slot)).orderBy("slot")
+    """Shards as binary files ``path/shard=<n>/part-*``, one each: nothing but records of one stride, in slot order."""
+    ordered.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(path)
+
+
+def read_from(spark: SparkSession, path: str, slot: int, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+    """(slot, record) from ``slot`` on, in order; earlier shards are not opened."""
+    files = spark.read.format("binaryFile").load(path)
+    if "shard" not in files.columns:  # no text had a token
+        return spark.createDataFrame([], "slot long, record binary")
+    wide = stride(length)
+    files = files.where(F.col("shard") >= slot // shard)
+    record = F.posexplode(F.transform(F.sequence(F.lit(0), (F.col("length") / wide).cast("int") - 1), lambda k: F.substring("content", k * wide + 1, F.lit(wide - 1))))
+    return files.select("shard", record.alias("k", "record")).select((F.col("shard").cast("long") * shard + F.col("k")).alias("slot"), "record").where(F.col("slot") >= slot).orderBy("slot")
 
 
 def ids_of(record: bytes) -> np.ndarray:
