@@ -3,8 +3,8 @@
 Features are hashed: words and word pairs, and character trigrams (bytes), each
 counted relative to their number in the text.  The regression is trained on
 labelled rows, at most ``TRAIN_ROWS`` of each label (those whose id hashes
-least), on the driver; a held-out quarter calibrates its probabilities by
-Platt's method.  Texts are scored in Arrow batches by table look-ups; a text is
+least) whose whole texts have ``TRAIN_BYTES`` in all, on the driver; a held-out
+quarter calibrates its probabilities by Platt's method.  Texts are scored in Arrow batches by table look-ups; a text is
 kept if the fixed rules pass it and its probability of good quality is at least
 ``THRESHOLD``.
 
@@ -24,15 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm import bytesvec as bv
-from quadloom.llm.common import batch, pick, small_batches, sparse
+from quadloom.llm.common import batch, pick, small_batches, sparse, written
 
 WINDOW, MIN_WORDS, MAX_REPEATED = 5, 10, 20
 SYMBOLS = b"#*$%&|<>"
 TRAIN_ROWS = 1500
 THRESHOLD = 0.5
 BITS = 15
-#: Bytes of a training text that are used.
-TRAIN_BYTES = 20_000
+#: Bytes of all training texts together; a row whose text would pass the bound is not in the sample.
+TRAIN_BYTES = 64 << 20
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[*SYMBOLS]] = True
@@ -74,7 +74,7 @@ def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, value) of all training texts."""
     rows, columns, values = [], [], []
     for k, text in enumerate(texts):
-        buf = np.frombuffer(text.encode("utf-8", "replace")[:TRAIN_BYTES], np.uint8)
+        buf = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         for feature, ranges in features(buf, np.array([0, len(buf)]))[0]:
             n = ranges[1] - ranges[0]
             each, count = np.unique(feature[: n], return_counts=True)
@@ -122,8 +122,11 @@ def fit(texts: list[str], labels: list[int], epochs: int = 60) -> Model:
     return Model(w.astype(np.float32), float(b), float(slope), float(shift))
 
 
-def model_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``most`` labelled documents of each label: those whose id hashes least."""
+def model_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on at most ``most`` labelled documents of each label, those whose id hashes least, with at most ``most_bytes`` of text.
+
+    A label given twice counts as the greater one, and of the texts of a repeated id the least is used.
+    """
     chosen = None
     marks = pick(labels, id=id_col, y=label_col).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -136,9 +139,16 @@ def model_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         return fit([], [])
     # the bounded sample of ids (at most 2 x most) goes to the scan, so the documents are not shuffled
     sample = docs.sparkSession.createDataFrame([(k,) for k in picked], "id long")
-    texts = pick(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id", "left_semi").select("id", F.substring("text", 1, TRAIN_BYTES).alias("text"))
-    rows = sorted(((r["id"], r["text"] or "") for r in texts.collect()), key=lambda r: (hash(r[0]) * 0x9E3779B97F4A7C15 % (1 << 64), r[1]))
-    return fit([t for _, t in rows], [picked[i] for i, _ in rows])
+    texts = pick(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id", "left_semi")
+    texts = written(texts.groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "labelled")
+    order = sorted((r["id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["id"], r["n"]) for r in texts.select("id", F.octet_length("text").alias("n")).collect())
+    taken, total = [], 0
+    for _, i, n in order:
+        if total + n <= most_bytes:
+            taken.append(i)
+            total += n
+    whole = {r["id"]: r["text"] for r in texts.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in taken], "id long")), "id", "left_semi").collect()}
+    return fit([whole[i] for i in taken], [picked[i] for i in taken])
 
 
 def rule_counts(buf: np.ndarray, offsets: np.ndarray, words: tuple) -> tuple[np.ndarray, ...]:

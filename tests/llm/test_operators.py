@@ -206,7 +206,7 @@ def test_training_order(spark, docs, rows, tmp_path):
     made = order.training_order(docs, path, "key", length=64, shard=100)
     got = sorted(made.collect(), key=lambda r: r.slot)
     assert [r.slot for r in got] == list(range(len(got)))
-    assert all(r.shard == r.slot // 100 and r.byte_offset == r.slot % 100 * (16 + 128) and len(r.record) == 16 + 128 for r in got)
+    assert all(r.shard == r.slot // 100 and r.byte_offset == r.slot % 100 * (16 + 128 + 1) and len(r.record) == 16 + 128 for r in got)
     vocabulary = counts.ByteVocabulary.load(path)
     expected = Counter()
     for i, t in rows:
@@ -214,9 +214,13 @@ def test_training_order(spark, docs, rows, tmp_path):
         expected.update((i, k // 64, tuple(ids[k : k + 64])) for k in range(0, len(ids), 64))
     assert Counter((r.doc_id, r.part, tuple(order.ids_of(r.record).tolist())) for r in got) == expected
     order.write_shards(made, str(tmp_path / "shards"))
-    again = order.read_from(spark, str(tmp_path / "shards"), 230, 100).collect()
-    assert [r.slot for r in again] == list(range(230, len(got)))
-    assert again[0].record == got[230].record
+    for shard in range(-(-len(got) // 100)):
+        (file,) = (tmp_path / "shards" / f"shard={shard}").glob("part-*")
+        assert file.read_bytes() == b"".join(r.record + b"\n" for r in got if r.shard == shard)
+    again = order.read_from(spark, str(tmp_path / "shards"), 230, 64, 100).collect()
+    assert [(r.slot, r.record) for r in again] == [(r.slot, r.record) for r in got[230:]]
+    order.write_shards(order.training_order(empty(spark), path, "key"), str(tmp_path / "none"))
+    assert order.read_from(spark, str(tmp_path / "none"), 0).count() == 0
     assert order.training_order(empty(spark), path, "key").count() == 0
 
 
@@ -259,6 +263,18 @@ def test_quality_model_on_held_out_labels(spark):
     assert np.mean(good) >= 0.97 and np.mean(bad) <= 0.1
 
 
+def test_quality_sample_is_bounded_by_whole_texts(spark, monkeypatch):
+    texts = {0: "bad " * 50, 1: "good " * 40, 2: "bad " * 9_000, 3: "good " * 30, 4: None}
+    docs = spark.createDataFrame([*texts.items(), (1, "good " * 40), (1, "z"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts] + [(0, 0), (None, 1), (77, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda t, y: seen.append(sorted(zip(t, y))))
+    quality.model_from(docs, labels)
+    quality.model_from(docs, labels, most_bytes=5_000)
+    whole = sorted([("bad " * 50, 0), ("good " * 40, 1), ("bad " * 9_000, 0), ("good " * 30, 1), ("", 0)])
+    assert seen == [whole, [x for x in whole if len(x[0]) < 5_000]]
+
+
 # --- 5 -----------------------------------------------------------------------
 
 
