@@ -18,9 +18,10 @@ exactly at the threshold and has one window only.
 
 Items of under five words have one shingle, all their words; items without
 words match nothing; a text shorter than an item is one window.  Null texts
-are empty.  Repeated rows and items give repeated results.  The items are sent
-to every task, in blocks of ``MOST_ITEMS``: a larger benchmark takes a pass
-over the documents for each block.
+are empty.  Repeated rows give repeated results, a repeated item counts once.  The
+items are sent to every task, in blocks of about ``MOST_ITEMS`` items and
+``MOST_BYTES`` of text: a larger benchmark takes a pass over the documents for
+each block.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from quadloom.llm.common import batch, pick, small_batches
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 20, 5
-MOST_ITEMS = 50_000
+MOST_ITEMS, MOST_BYTES = 50_000, 16 << 20
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[0x80:] = True
@@ -179,9 +180,10 @@ def chunk_matches(indexes: list[Index], buf: np.ndarray, offsets: np.ndarray) ->
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, most_items: int) -> Iterator[list[Index]]:
-    """Indexes of at most about ``most_items`` items each."""
-    items = pick(benchmark, item_id=item_col, text=text_col)
-    parts = -(-items.count() // most_items)
+    """Indexes of at most about ``most_items`` items and ``MOST_BYTES`` of text each."""
+    items = pick(benchmark, item_id=item_col, text=text_col).distinct()
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(-(-n // most_items), -(-size // MOST_BYTES))
     for part in range(parts):
         block = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         yield build([(r["item_id"], r["text"]) for r in block.collect()])
