@@ -86,6 +86,18 @@ def sparse(df: DataFrame, key: Column, most: int, n: int) -> DataFrame:
     return df if share == 1.0 else df.where(F.shiftrightunsigned(F.xxhash64(key, F.lit("sample")), 1) < F.lit(int(share * ((1 << 63) - 1))))
 
 
+def whole_texts(sample: DataFrame, most_bytes: int) -> list[tuple]:
+    """(id, text) of a bounded sample with distinct ids ``id`` and ``k``, in the order of k: whole texts of ``most_bytes`` in all; one that would pass the bound stays out."""
+    sample = written(sample.select("k", "id", F.coalesce("text", F.lit("")).alias("text")), "sample")
+    taken, total = [], 0
+    for r in sorted(sample.select("k", "id", F.octet_length("text").alias("n")).collect()):
+        if total + r["n"] <= most_bytes:
+            taken.append(r["k"])
+            total += r["n"]
+    rows = sample.where(F.col("k").isin(taken)).collect() if taken else []
+    return [(r["id"], r["text"]) for r in sorted(rows)]
+
+
 def null_safe_id(column: str) -> Column:
     """An id for joins in which null equals null."""
     return F.coalesce(F.col(column), F.lit(-(1 << 63)))

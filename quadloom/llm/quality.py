@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm import bytesvec as bv
-from quadloom.llm.common import batch, pick, small_batches, sparse, written
+from quadloom.llm.common import batch, pick, small_batches, sparse, whole_texts
 
 WINDOW, MIN_WORDS, MAX_REPEATED = 5, 10, 20
 SYMBOLS = b"#*$%&|<>"
@@ -140,15 +140,9 @@ def model_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     # the bounded sample of ids (at most 2 x most) goes to the scan, so the documents are not shuffled
     sample = docs.sparkSession.createDataFrame([(k,) for k in picked], "id long")
     texts = pick(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id", "left_semi")
-    texts = written(texts.groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "labelled")
-    order = sorted((r["id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["id"], r["n"]) for r in texts.select("id", F.octet_length("text").alias("n")).collect())
-    taken, total = [], 0
-    for _, i, n in order:
-        if total + n <= most_bytes:
-            taken.append(i)
-            total += n
-    whole = {r["id"]: r["text"] for r in texts.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in taken], "id long")), "id", "left_semi").collect()}
-    return fit([whole[i] for i in taken], [picked[i] for i in taken])
+    texts = texts.groupBy("id").agg(F.min("text").alias("text")).withColumn("k", F.xxhash64("id", F.lit("order")))
+    rows = whole_texts(texts, most_bytes)
+    return fit([t for _, t in rows], [picked[i] for i, _ in rows])
 
 
 def rule_counts(buf: np.ndarray, offsets: np.ndarray, words: tuple) -> tuple[np.ndarray, ...]:

@@ -13,7 +13,9 @@ without a secret have no spans; repeated rows give repeated results.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm import bytesvec as bv
-from quadloom.llm.common import batch, pick, small_batches, sparse
+from quadloom.llm.common import batch, pick, small_batches, sparse, whole_texts
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -31,8 +33,8 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "markov")
 #: Least characters of a run that the models judge, and the thresholds of the ratio (natural logarithms).
 RUN, LLR, PER_CHARACTER = 20, 14.0, 0.6
-#: Documents from which ordinary words are learnt.
-TRAIN_DOCS = 400
+#: Documents from which ordinary words are learnt, and the bytes of their whole texts together.
+TRAIN_DOCS, TRAIN_BYTES = 400, 8 << 20
 KEYWORDS = (b"pass", b"secret", b"token", b"api")
 
 _KEY = np.zeros(256, dtype=bool)
@@ -101,23 +103,32 @@ def ordinary_strings(words: list[str], n: int = 6000, seed: int = 12) -> list[st
     return out
 
 
-def model_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS) -> np.ndarray:
-    """Train on generated random strings and on the words of ``most`` documents at most: those whose id hashes least."""
-    chosen = sparse(pick(docs, doc_id=id_col, text=text_col), F.col("doc_id"), most, docs.count()).select(F.xxhash64("doc_id", F.lit("sample")).alias("k"), F.substring("text", 1, 4000).alias("text")).orderBy("k", "text").limit(most)
+def model_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> np.ndarray:
+    """Train on generated random strings and on the words of ``most`` documents at most, those whose id hashes least, with at most ``most_bytes`` of text.
+
+    Of the texts of a repeated id the least is used; rows without an id are not in the sample.
+    """
+    some = sparse(pick(docs, id=id_col, text=text_col).where("id is not null"), F.col("id"), most, docs.count())
+    some = some.groupBy("id").agg(F.min("text").alias("text")).withColumn("k", F.xxhash64("id", F.lit("sample"))).orderBy("k", "id").limit(most)
     words: list[str] = []
-    for row in chosen.collect():
-        text = row["text"] or ""
-        for a, b, _ in reversed(base_spans(text)):
-            text = text[:a] + " " + text[b:]
-        words += re.findall(r"[A-Za-z]+(?:[_/-][A-Za-z]+)*", text)
-    return train(random_strings(), ordinary_strings(words[:200_000]))
+    for _, text in whole_texts(some, most_bytes):
+        parts, at = [], 0
+        for a, b, _ in base_spans(text):
+            if a >= at:
+                parts.append(text[at:a])
+            at = max(at, b)
+        words += re.findall(r"[A-Za-z]+(?:[_/-][A-Za-z]+)*", " ".join([*parts, text[at:]]))
+    return train(random_strings(), ordinary_strings(words))
 
 
 def markov_spans(text: str, model: np.ndarray, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Runs that overlap no span of the rules (``taken``, by start) and that the models call random."""
     found = []
+    begins = [y for y, _, _ in taken]
+    reach = [0, *itertools.accumulate((z for _, z, _ in taken), max)]  # the furthest end of the first spans
     for m in _RUN_PATTERN.finditer(text):
         a, b = m.span()
-        if any(a < z and y < b for y, z, _ in taken):
+        if reach[bisect.bisect_left(begins, b)] > a:
             continue
         raw = np.frombuffer(m[0].encode(), np.uint8)
         score = model[256, raw[0]] + model[raw[:-1], raw[1:]].sum()

@@ -126,6 +126,25 @@ def test_markov_models_tell_held_out_strings_apart(sf, spark):
     assert sum(score(s) > max(secrets.LLR, secrets.PER_CHARACTER * len(s)) for s in ordinary) <= 0.01 * len(ordinary) + 1
 
 
+def test_markov_sample_is_bounded_by_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(secrets, "train", lambda random_samples, ordinary: seen.append(ordinary))
+    far = "word " * 3_000 + "zebrafinch"
+    docs = spark.createDataFrame([(1, far), (1, far), (2, "quokkas secret=abcdefgh numbat"), (None, "axolotl"), (3, None)], "doc_id long, text string")
+    secrets.model_from(docs)
+    secrets.model_from(docs, most_bytes=5_000)
+    assert "zebrafinch" in seen[0] and "zebrafinch" not in seen[1]
+    assert all("quokkas" in s and "numbat" in s and "abcdefgh" not in s and "axolotl" not in s for s in seen)
+
+
+def test_markov_spans_leave_the_rules_spans_alone():
+    model = np.full((257, 256), 9.0)
+    text = " ".join("k" * 25 for _ in range(6))
+    for taken in ([], [(0, 3, "x")], [(0, 60, "x"), (30, 31, "y")], [(25, 26, "x")], [(51, 53, "x"), (155, 160, "y")]):
+        want = [(a, a + 25, "markov") for a in range(0, 156, 26) if not any(a < z and y < a + 25 for y, z, _ in taken)]
+        assert secrets.markov_spans(text, model, taken) == want
+
+
 def test_redaction(spark, docs):
     made = secrets.without_secrets(docs.withColumn("n_chars", F.char_length("text").cast("int")))
     assert made.columns == [*docs.columns, "n_chars"] and made.count() == docs.count()
@@ -161,7 +180,7 @@ def brute_leaks(texts, items):
     return found
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rnd = random.Random(4)
     words = [f"t{k}" for k in range(400)] + ["über", "école"]
     line = lambda k: [rnd.choice(words) for _ in range(k)]
@@ -185,6 +204,11 @@ def test_decontamination(spark):
         assert all(abs(v - expected[k]) < 1e-5 for k, v in got.items())
     kept = {r.doc_id for r in decontaminate.clean(docs, bench).collect()}
     assert kept == {d for d, _ in texts} - {d for d, _ in expected} - {902}
+    once = decontaminate.contaminated(docs, bench).collect()
+    assert sorted(map(str, decontaminate.contaminated(docs, bench.union(bench)).collect())) == sorted(map(str, once))
+    with monkeypatch.context() as m:
+        m.setattr(decontaminate, "MOST_BYTES", 700)
+        assert sorted(map(str, decontaminate.contaminated(docs, bench).collect())) == sorted(map(str, once))
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(texts)
