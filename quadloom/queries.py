@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadloom import session
 from quadloom import vocab as v
 from quadloom.operators.closure import components
 from quadloom.plans.compiler import Engine
 from quadloom.reasoner import consistency, rules
 from quadloom.reasoner.policy import Policy
 from quadloom.reasoner.rules import Schema, Snapshot
+from quadloom.reasoner.service import Reasoner
 from quadloom.sinks import results
 from quadloom.sources.dataset import MappedDataset, table
 from quadloom.store import state as st
-from quadloom.store.gate import delta
+from quadloom.store.gate import Gate, delta
 from quadloom.store.state import State
+from quadloom.store.store import QuadStore
 
 BASE = "http://ex.org/"
 PREFIX = f"PREFIX ex: <{BASE}> PREFIX xsd: <{v.XSD}> PREFIX rdf: <{v.RDF}> "
@@ -142,6 +146,7 @@ sparql("sparql_path_alt", "SELECT ?x ?n WHERE { ?x ex:c_nationkey|ex:s_nationkey
 sparql("sparql_path_inverse", "SELECT ?r ?n WHERE { ?r ^ex:n_regionkey/ex:n_name ?n }", f"select {iri('n_regionkey', 'region')} as r, n_name as n from nation", "nation", "region")
 sparql("sparql_path_plus", "SELECT ?a ?b WHERE { ?a ex:c_parent+ ?b }", f"{_TREE} select {iri('s', 'customer')} as a, {iri('o', 'customer')} as b from tc", "customer")
 sparql("sparql_path_star_from", f"SELECT ?b WHERE {{ <{BASE}customer/77> ex:c_parent* ?b }}", f"{_TREE} select {iri('o', 'customer')} as b from tc where s = 77 union select '{BASE}customer/77'", "customer")
+sparql("sparql_path_star", "SELECT ?a ?b WHERE { ?a ex:c_nationkey ?n . ?a ex:c_parent* ?b }", f"{_TREE} select {iri('s', 'customer')} as a, {iri('o', 'customer')} as b from tc union select {iri('c_custkey', 'customer')}, {iri('c_custkey', 'customer')} from customer", "customer")
 sparql("sparql_path_optional", "SELECT ?a ?b WHERE { ?a ex:c_nationkey ?n . ?a ex:c_parent? ?b }", f"select {iri('c_custkey', 'customer')} as a, {iri('c_custkey', 'customer')} as b from customer union select {iri('c_custkey', 'customer')}, {iri('c_custkey // 2', 'customer')} from customer where c_custkey > 0", "customer")
 sparql("sparql_path_negated", "SELECT ?x ?y WHERE { ?x !(rdf:type|ex:n_nationkey|ex:n_name|ex:n_comment|^ex:n_regionkey) ?y FILTER(ISIRI(?x) && ISIRI(?y)) }", "select x, y from (" + f"select {iri('n_nationkey', 'nation')} as x, {iri('n_regionkey', 'region')} as y from nation" + f" union all select '{BASE}Nation', {iri('n_nationkey', 'nation')} from nation)", "nation")
 
@@ -230,6 +235,64 @@ update("update_add", 'INSERT DATA { GRAPH ex:g { ex:x ex:p "1" } } ; ADD DEFAULT
 update("update_clear", "COPY DEFAULT TO ex:g ; COPY DEFAULT TO ex:h ; CLEAR GRAPH ex:g ; DROP GRAPH ex:h", _NATIONS)
 
 
+# --- the store ------------------------------------------------------------------------
+
+
+def stored(state: State) -> QuadStore:
+    """A store of its own in the shared folder, with the state as revision 1; it goes when the session ends."""
+    spark = state.quads.sparkSession
+    path = f"{session.shared_folder(spark)}/quadloom-store-{uuid.uuid4().hex}"
+    session.delete_at_end(spark, path)
+    store = QuadStore(spark, path)
+    store.mutate(lambda x: x.inserted(state.quads))
+    return store
+
+
+def in_store(name: str, change: Callable[[QuadStore], object], sql: str) -> None:
+    """The quads of a store of nations after a change."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = stored(nations(spark, sf_dir))
+        change(store)
+        return store.state().quads.select("s", "p", "o", "g")
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = sql
+
+
+def _copied(store: QuadStore) -> QuadStore:
+    store.update(f"COPY DEFAULT TO <{BASE}g>")
+    return store
+
+
+def _restored(store: QuadStore) -> None:
+    path = f"{store.path}-backup"
+    session.delete_at_end(store.spark, path)
+    told = store.export(path)
+    store.update("CLEAR ALL")
+    store.restore(path, told["sha256"])
+
+
+_STATEMENT = f'<{BASE}x> <{BASE}p> "1" .'
+_IN_G = f"select {_N} as s, '<{BASE}name>' as p, {_NAME} as o, '<{BASE}g>' as g from nation"
+in_store("graph_put", lambda x: _copied(x).write_graph(_STATEMENT, "ntriples"), f"{_IN_G} union all select {_X}, '' as g")
+in_store("graph_post", lambda x: _copied(x).write_graph(_STATEMENT, "turtle", BASE + "g", replace=False), f"{_NATIONS} union all {_IN_G} union all select {_X}, '<{BASE}g>' as g")
+in_store("graph_delete", lambda x: _copied(x).delete_graph(), _IN_G)
+in_store("tell", lambda x: x.tell(_STATEMENT, "turtle", gate=Gate(Reasoner("rules-mvp"))), f"{_NATIONS} union all select {_X}, '' as g")
+in_store("backup_restore", _restored, _NATIONS)
+
+
+@query(f"select distinct '<{BASE}lang/' || lang || '>' as g from documents where lang is not null")
+def named_graphs(spark, sf_dir):
+    return documents_by_language(spark, sf_dir).graphs.where("g is not null").select("g")
+
+
+@query("select count(*) as quads, count(distinct lang) as graphs, count(*) = 0 as empty, 1 as revision from (select distinct doc_id, n_chars, lang from documents)")
+def dataset_stats(spark, sf_dir):
+    x = stored(documents_by_language(spark, sf_dir)).stats()
+    return spark.createDataFrame([(x["quad_count"], x["named_graph_count"], x["is_empty"], x["revision"])], "quads long, graphs long, empty boolean, revision long")
+
+
 @query("select 'inserted' as side, count(*) as n from nation where n_name like 'A%' union all select 'removed', 0")
 def snapshot_delta(spark, sf_dir):
     before = nations(spark, sf_dir)
@@ -281,6 +344,15 @@ def rdfs_subclass_closure(spark, sf_dir):
     return rules.hierarchy_closure(edges)
 
 
+@query(f"with recursive e(s, o) as ({_HIERARCHY}), cl(s, o) as (select s, o from e union select cl.s, e.o from cl join e on cl.o = e.s) select * from cl except select * from e")
+def rdfs_subproperty_closure(spark, sf_dir):
+    """The same hierarchy as properties: axioms, which the schema closes on the driver up to its bound."""
+    n, r, p = (frame(spark, sf_dir, x) for x in ("nation", "region", "part"))
+    edges = n.select(res("nation", "n_nationkey").alias("s"), res("region", "n_regionkey").alias("o")).union(r.select(res("region", "r_regionkey"), F.lit("Place"))).union(p.select("p_brand", "p_type").distinct()).union(p.select("p_type", F.lit("Part")).distinct())
+    schema = Schema.of(edges.select("s", F.lit(v.SUB_PROPERTY).alias("p"), "o"), Policy())
+    return spark.createDataFrame(sorted(rules.derived_axioms(schema, Policy())), rules.TRIPLE).select("s", "o")
+
+
 def order_facts(spark, sf_dir) -> DataFrame:
     o = frame(spark, sf_dir, "orders")
     c = frame(spark, sf_dir, "customer")
@@ -300,6 +372,12 @@ def rdfs_type_propagation(spark, sf_dir):
     return closed(facts, axioms)[1].select("i", "c")
 
 
+@query("select distinct i, c, rank, origin from (select 'order/' || o_orderkey as i, 'Order' as c, 10 as rank, 'domain-derived via placedBy' as origin from orders union all select 'customer/' || o_custkey, 'Customer', 20, 'range-derived via placedBy' from orders)")
+def rdfs_domain_range(spark, sf_dir):
+    facts = order_facts(spark, sf_dir).where("p = 'placedBy'")
+    return closed(facts, [("placedBy", v.DOMAIN, "Order"), ("placedBy", v.RANGE, "Customer")])[1].select("i", "c", "rank", "origin")
+
+
 @query("select 'customer/' || o_custkey as s, 'order/' || o_orderkey as o from orders")
 def owl_inverse(spark, sf_dir):
     return derived(order_facts(spark, sf_dir), [("placed", v.INVERSE_OF, "placedBy")], "placed")
@@ -370,6 +448,28 @@ def owl_inverse_functional_sameas(spark, sf_dir):
     return out.select(plain("a").alias("a"), plain("b").alias("b"))
 
 
+@query("select 'customer/' || min(c_custkey) over (partition by c_nationkey) as a, 'customer/' || c_custkey as b from customer qualify a <> b")
+def owl_functional_sameas(spark, sf_dir):
+    """A nation houses one customer, it is said: so all customers of a nation are the same."""
+    c = frame(spark, sf_dir, "customer")
+    number = F.concat(F.lit("customer/"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
+    schema = Schema.of(spark.createDataFrame([("houses", v.TYPE, v.FUNCTIONAL)], rules.TRIPLE), Policy())
+    out = rules.implied_equalities(bare(c, res("nation", "c_nationkey"), "houses", number), schema)
+    plain = lambda k: F.concat(F.lit("customer/"), F.regexp_replace(F.split(k, "/")[1], "^0+(?=.)", "")).alias(k)
+    return out.select(plain("a"), plain("b"))
+
+
+@query(_CLUSTERS.format(on="a.text = b.text or a.n_chars = b.n_chars") + " select x as member, min(y) as canonical from r group by x having count(*) > 1")
+def owl_identity_fixpoint(spark, sf_dir):
+    """Text and size are both inverse functional: equality by one makes equality by the other, until nothing is new."""
+    d = frame(spark, sf_dir, "documents")
+    number = F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    facts = bare(d, number, "hasText", F.concat(F.lit("t/"), F.md5("text"))).union(bare(d, number, "hasSize", F.concat(F.lit("n/"), F.col("n_chars").cast("string"))))
+    _, _, found, _ = closed(facts, [("hasText", v.TYPE, v.INVERSE_FUNCTIONAL), ("hasSize", v.TYPE, v.INVERSE_FUNCTIONAL)])
+    plain = lambda k: F.substring(k, 3, 12).cast("long").alias(k)
+    return found.clusters.select(plain("member"), plain("canonical"))
+
+
 @query("select a.n_name as s, b.n_name as o from nation a join nation b on a.n_nationkey < b.n_nationkey")
 def owl_all_different(spark, sf_dir):
     names = [r[0] for r in frame(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").limit(1000).collect()]
@@ -391,6 +491,28 @@ def consistency_disjoint(spark, sf_dir):
     return consistency.disjoint(types, schema).select("focus", F.col("left").alias("l"), F.col("right").alias("r"))
 
 
+def listed(kind: str, members: list[str]) -> list[tuple[str, str, str]]:
+    """Axioms of a group with a list of members."""
+    axioms = [("group", v.TYPE, kind), ("group", v.MEMBERS, "l0")]
+    for k, m in enumerate(members):
+        axioms += [(f"l{k}", v.FIRST, m), (f"l{k}", v.REST, f"l{k + 1}" if k + 1 < len(members) else v.NIL)]
+    return axioms
+
+
+@query("with f as (select distinct l_partkey p, l_suppkey s, l_returnflag r from lineitem) select 'ps/' || a.p || '/' || a.s as focus, 'Flag' || a.r as l, 'Flag' || b.r as r from f a join f b on a.p = b.p and a.s = b.s and a.r < b.r")
+def owl_all_disjoint_classes(spark, sf_dir):
+    _, types, _, schema = closed(line_types(spark, sf_dir), listed(v.ALL_DISJOINT_CLASSES, ["FlagR", "FlagA", "FlagN"]))
+    return consistency.disjoint(types, schema).select("focus", F.col("left").alias("l"), F.col("right").alias("r"))
+
+
+@query("with f as (select distinct l_partkey p, l_suppkey s, l_returnflag r from lineitem) select 'part/' || a.p as focus, 'flag' || a.r as l, 'flag' || b.r as r, a.s as supplier from f a join f b on a.p = b.p and a.s = b.s and a.r < b.r")
+def owl_all_disjoint_properties(spark, sf_dir):
+    li = frame(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag").distinct()
+    facts = li.select(res("part", "l_partkey").alias("s"), F.concat(F.lit("flag"), "l_returnflag").alias("p"), res("supplier", "l_suppkey").alias("o"))
+    _, _, found, schema = closed(facts, listed(v.ALL_DISJOINT_PROPERTIES, ["flagN", "flagR", "flagA"]))
+    return consistency.property_disjoint(found, schema).select("focus", F.col("left").alias("l"), F.col("right").alias("r"), F.regexp_extract("left_origin", r"supplier/(\d+)", 1).cast("bigint").alias("supplier"))
+
+
 @query("select distinct 'ps/' || l_partkey || '/' || l_suppkey as focus, 'FlagR' as support from lineitem where l_returnflag = 'R'")
 def consistency_nothing(spark, sf_dir):
     _, types, _, schema = closed(line_types(spark, sf_dir), [("FlagR", v.SUB_CLASS, v.NOTHING)])

@@ -77,6 +77,11 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder together with the tables of ``written``."""
+    _written.append((spark, path))
+
+
 def clear_written() -> None:
     """Delete the tables of ``written``; results that read them become unusable."""
     while _written:
