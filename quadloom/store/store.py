@@ -194,11 +194,15 @@ class QuadStore:
         n = x.quads.count()
         return {"quad_count": n, "named_graph_count": x.graphs.count(), "is_empty": n == 0, "revision": self.revision}
 
-    def metrics(self) -> str:
-        """The statistics in Prometheus' text format."""
+    def metrics(self, reasoner=None) -> str:
+        """The statistics, and those of a reasoner's caches, in Prometheus' text format."""
         x = self.stats()
-        rows = {"quadloom_ready": 1, "quadloom_revision": x["revision"], "quadloom_quads": x["quad_count"], "quadloom_named_graphs": x["named_graph_count"]}
-        return "".join(f"# TYPE {k} gauge\n{k} {n}\n" for k, n in rows.items())
+        rows = [("ready", "gauge", "", 1), ("revision", "gauge", "", x["revision"]), ("quads", "gauge", "", x["quad_count"]), ("named_graphs", "gauge", "", x["named_graph_count"]), ("store_info", "gauge", '{mode="parquet",durability="durable"}', 1)]
+        if reasoner is not None:
+            rows.append(("reasoner_info", "gauge", f'{{mode="{reasoner.mode}",preset="{reasoner.policy.preset}"}}', 1))
+            for name, cache in (("execution", reasoner.executions), ("schema", reasoner.schemas)):
+                rows += [(f"reasoner_{name}_cache_entries", "gauge", "", len(cache.entries)), (f"reasoner_{name}_cache_hits_total", "counter", "", cache.hits), (f"reasoner_{name}_cache_misses_total", "counter", "", cache.misses)]
+        return "".join(f"# TYPE quadloom_{name} {kind}\nquadloom_{name}{labels} {n}\n" for name, kind, labels, n in rows)
 
     def export(self, path: str) -> dict[str, object]:
         """All quads as sorted N-Quads files with a checksum of their lines; empty named graphs are not in this format."""
