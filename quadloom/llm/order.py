@@ -36,6 +36,8 @@ LENGTH = 512
 SHARD = 8192
 HEADER = 16
 ROUNDS = 6
+#: Partitions of the shuffle at most; with more shards each partition has a run of whole ones, sorted by spilling.
+MOST_PARTITIONS = 20_000
 _NULL_ID = -(1 << 63)
 
 
@@ -100,8 +102,8 @@ def sequences(docs: DataFrame, vocabulary_path: str, length: int = LENGTH, id_co
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "src int, pos long, doc_id long, part int, n_tokens int, record binary")
 
 
-def training_order(docs: DataFrame, vocabulary_path: str, key: str, length: int = LENGTH, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each sequence: slot, shard, byte_offset, doc_id, part, n_tokens, record; a partition is a shard, in slot order."""
+def training_order(docs: DataFrame, vocabulary_path: str, key: str, length: int = LENGTH, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", most_partitions: int = MOST_PARTITIONS) -> DataFrame:
+    """One row for each sequence: slot, shard, byte_offset, doc_id, part, n_tokens, record; a partition is a shard, or a run of shards if there are over ``most_partitions``, in slot order."""
     made = written(sequences(docs, vocabulary_path, length, id_col, text_col), "sequences")
     # one row for each task that read the input, not for each sequence
     sizes = made.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy("src").collect()
@@ -119,8 +121,9 @@ def training_order(docs: DataFrame, vocabulary_path: str, key: str, length: int
 
     placed = made.mapInArrow(place, "slot long, doc_id long, part int, n_tokens int, record binary")
     shards = max(1, -(-n // shard))
+    run = -(-shards // most_partitions)
     rows = placed.withColumn("shard", F.floor(F.col("slot") / shard).cast("int"))
-    ordered = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "slot")
+    ordered = rows.repartitionById(-(-shards // run), F.floor(F.col("shard") / run).cast("int")).sortWithinPartitions("shard", "slot")
     return ordered.select("slot", "shard", (F.col("slot") % shard * stride(length)).alias("byte_offset"), "doc_id", "part", "n_tokens", "record")
 
 

@@ -241,6 +241,12 @@ def test_training_order(spark, docs, rows, tmp_path):
     for shard in range(-(-len(got) // 100)):
         (file,) = (tmp_path / "shards" / f"shard={shard}").glob("part-*")
         assert file.read_bytes() == b"".join(r.record + b"\n" for r in got if r.shard == shard)
+    runs = order.training_order(docs, path, "key", length=64, shard=100, most_partitions=2)
+    assert runs.rdd.getNumPartitions() == 2 and len(got) > 200
+    order.write_shards(runs, str(tmp_path / "runs"))
+    for file in (tmp_path / "shards").glob("shard=*/part-*"):
+        (same,) = (tmp_path / "runs" / file.parent.name).glob("part-*")
+        assert same.read_bytes() == file.read_bytes()
     again = order.read_from(spark, str(tmp_path / "shards"), 230, 64, 100).collect()
     assert [(r.slot, r.record) for r in again] == [(r.slot, r.record) for r in got[230:]]
     order.write_shards(order.training_order(empty(spark), path, "key"), str(tmp_path / "none"))
