@@ -6,11 +6,14 @@ iterators, so a large result leaves the cluster partition by partition.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from collections.abc import Iterator, Mapping
 from dataclasses import asdict, dataclass, field
 from urllib.parse import parse_qsl
 
+from quadloom import session
 from quadloom.plans.parser import SparqlSyntaxError, parse_query, parse_update
 from quadloom.reasoner.policy import PRESETS, capabilities
 from quadloom.reasoner.service import Reasoner
@@ -31,6 +34,7 @@ class Answer:
     status: int
     media: str = ""
     body: Iterator[str] = field(default_factory=lambda: iter(()))
+    headers: dict[str, str] = field(default_factory=dict)
 
     def text(self) -> str:
         return "".join(self.body)
@@ -79,6 +83,8 @@ class Endpoint:
             ("POST", "/dataset/data"): ("write", self._post),
             ("DELETE", "/dataset/data"): ("write", self._delete),
             ("GET", "/ops/api/diagnostics/reasoning"): ("admin", self._diagnostics),
+            ("GET", "/ops/api/admin/dataset/backup"): ("admin", self._backup),
+            ("POST", "/ops/api/admin/dataset/restore"): ("admin", self._restore),
         }
 
     def handle(self, method: str, path: str, query: str = "", headers: Mapping[str, str] | None = None, body: bytes = b"") -> Answer:
@@ -88,7 +94,7 @@ class Endpoint:
             if (method, path) not in self.routes:
                 raise Problem(404, f"nothing answers {method} {path}")
             kind, answer = self.routes[method, path]
-            if kind == "write" and not self.config.writes:
+            if (kind == "write" or path.startswith("/ops/api/admin/")) and not self.config.writes:
                 raise Problem(404, f"{self.config.posture} does not write")
             if kind:
                 self.config.access.check(kind, own.get("authorization"))
@@ -246,6 +252,24 @@ class Endpoint:
     def _head(self, query, headers, body) -> Answer:
         return Answer(200, self._read(query, headers, body).media)
 
+    def _backup(self, query, headers, body) -> Answer:
+        """All quads as sorted N-Quads, their checksum, number and revision in headers."""
+        path = f"{session.shared_folder(self.store.spark)}/quadloom-backup-{uuid.uuid4().hex}"
+        session.delete_at_end(self.store.spark, path)
+        told = self.store.export(path)
+        lines = self.store.spark.read.text(path).orderBy("value").toLocalIterator()
+        return Answer(200, "application/n-quads", (r["value"] + "\n" for r in lines), {f"x-backup-{k.replace('_', '-')}": str(x) for k, x in told.items()})
+
+    def _restore(self, query, headers, body) -> Answer:
+        """Replace everything by an N-Quads body; with ``x-backup-sha256`` only if that is its checksum."""
+        if media_of(headers.get("content-type")) != "application/n-quads":
+            raise Problem(400, "a backup is application/n-quads")
+        wanted = headers.get("x-backup-sha256")
+        if wanted and hashlib.sha256(body).hexdigest() != wanted:
+            raise Problem(400, "the backup does not have the given checksum")
+        payload = self._decoded(body)
+        return self._json(self._mutation(lambda: self.store.restore_payload(payload, self.gate)))
+
     # -- reasoning ---------------------------------------------------------------------
     def _diagnostics(self, query, headers, body) -> Answer:
         """Mode, policy, capabilities, and what the last run found."""

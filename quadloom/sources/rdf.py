@@ -5,6 +5,7 @@ Blank nodes get a label prefix for each load, so two loads never share one.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import uuid
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -223,8 +225,15 @@ def parse_payload(spark: SparkSession, payload: str, kind: str, base: str = "",
         raise ValueError(f"{base} is no absolute base IRI")
     scope = uuid.uuid4().hex[:8] if scope is None else scope
     if kind in ("ntriples", "nquads"):
-        lines = spark.createDataFrame([(x,) for x in payload.splitlines()], "value string")
-        rows = [tuple(r) for r in parse_lines(lines, kind == "nquads", scope).collect()]
+        # other separators than these are ordinary characters of literals
+        lines = spark.createDataFrame([(x,) for x in re.split(r"\r\n|\n|\r", payload)], "value string")
+        try:
+            rows = [tuple(r) for r in parse_lines(lines, kind == "nquads", scope).collect()]
+        except PySparkException as x:
+            found = re.search(r"not a statement: .*", str(x))
+            if found:
+                raise RdfSyntaxError(found[0]) from None
+            raise
     else:
         rows = [(*t, "") for t in (parse_turtle if kind == "turtle" else parse_rdfxml)(payload, base, scope)]
     return spark.createDataFrame(rows, QUADS)
@@ -245,7 +254,7 @@ def read(spark: SparkSession, path: str, kind: str | None = None, graph: str | N
         def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for text, file in zip(batch["value"], batch["file"]):
-                    own = scope + format(abs(hash(file)) % (1 << 32), "x")
+                    own = scope + hashlib.md5(file.encode()).hexdigest()[:16]  # the same when a task runs again
                     rows = (parse_turtle if kind == "turtle" else parse_rdfxml)(text, file if base is None else base, own)
                     yield pd.DataFrame([(*r, "") for r in rows], columns=list("spog"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quadloom import session
 from quadloom.plans.compiler import Engine
+from quadloom.reasoner.rules import Snapshot
 from quadloom.sinks import results
 from quadloom.sources import rdf
 from quadloom.store import state as s
@@ -115,6 +116,15 @@ class QuadStore:
     def engine(self, revision: int | None = None) -> Engine:
         return Engine(self.state(revision).dataset())
 
+    def inferred_engine(self, reasoner) -> Engine:
+        """Queries over what is asserted and what the reasoner derives from it; derived triples are in the default graph and are not stored."""
+        state = self.state()
+        report = reasoner.run(Snapshot.of(state.quads))
+        if report.inference is None:
+            return Engine(state.dataset())
+        named = [F.concat(F.lit("<"), F.col(c), F.lit(">")).alias(c) for c in "spo"]
+        return Engine(State(state.quads.select(*s.KEYS).union(report.inference.derived.select(*named, F.lit("").alias("g"))), state.graphs).dataset())
+
     def _publish(self, state: State, revision: int) -> State:
         at = f"{self.path}/rev={revision}"
         self.files.drop(f"rev={revision}")
@@ -224,7 +234,14 @@ class QuadStore:
                 digest.update(row["value"].encode() + b"\n")
             if digest.hexdigest() != sha256:
                 raise ValueError("the backup does not have the given checksum")
-        rows = session.written(rdf.parse_lines(lines, True, scope=""), "restore")
+        return self._restored(rdf.parse_lines(lines, True, scope=""), gate)
+
+    def restore_payload(self, payload: str, gate=None) -> dict[str, object]:
+        """The same from N-Quads in memory."""
+        return self._restored(rdf.parse_payload(self.spark, payload, "nquads", scope=""), gate)
+
+    def _restored(self, rows: DataFrame, gate) -> dict[str, object]:
+        rows = session.written(rows, "restore")
         had = not self.state().quads.isEmpty()
         revision = self.mutate(lambda x: State.empty(self.spark).inserted(rows), gate)
         return {"replaced_existing": had, "quad_count": rows.distinct().count(), "revision": revision}

@@ -41,6 +41,14 @@ def test_endpoint(spark, tmp_path):
     assert "quadloom_reasoner_schema_cache_misses_total" in go("GET", "/metrics").text()
     assert json.loads(go("GET", "/dataset/info").text())["revision"] == service.store.revision
     assert len(rdf.parse_turtle(go("GET", "/dataset/service-description").text(), "http://s/")) >= 14
+    assert go("POST", "/dataset/tell", "", {"Content-Type": "application/n-triples"}, b"<a:b> <c:d> .").status == 400
+    backup = go("GET", "/ops/api/admin/dataset/backup")
+    text = backup.text().encode()
+    assert go("DELETE", "/dataset/data", "graph=http%3A%2F%2Fe%2Fg").status == 204 and service.store.stats()["named_graph_count"] == 0
+    sent = {"Content-Type": "application/n-quads", "X-Backup-Sha256": backup.headers["x-backup-sha256"]}
+    assert go("POST", "/ops/api/admin/dataset/restore", "", sent, text + b"\n").status == 400
+    assert json.loads(go("POST", "/ops/api/admin/dataset/restore", "", sent, text).text())["quad_count"] == int(backup.headers["x-backup-quad-count"])
+    assert service.store.stats()["named_graph_count"] == 1
     assert go("DELETE", "/dataset/data", "graph=http%3A%2F%2Fe%2Fg").status == 204 and go("DELETE", "/dataset/data", "graph=x").status == 400
 
 

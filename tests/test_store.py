@@ -36,8 +36,9 @@ def test_readers(spark, tmp_path):
     assert {(r.p, r.o, r.g) for r in quads} == {("<a:p>", '"x\ty"z"', "<a:g>"), ("<a:p>", '"v"@en', "")}
     (tmp_path / "t.ttl").write_text("<s> <a:p> 1 .")
     assert rdf.read(spark, str(tmp_path / "t.ttl"), graph="e:g").first().g == "<e:g>"
-    with pytest.raises(Exception, match="not a statement"):
+    with pytest.raises(rdf.RdfSyntaxError, match="not a statement"):
         rdf.parse_payload(spark, "<a:b> <c:d> .", "ntriples")
+    assert rdf.parse_payload(spark, '<a:b> <c:d> "x\u2028\x85y" .\r\n', "ntriples").first().o == '"x\u2028\x85y"'
 
 
 def test_writers(spark):
@@ -83,6 +84,14 @@ def test_store(spark, tmp_path):
     assert store.restore(str(tmp_path / "b"), backup["sha256"])["quad_count"] == 3 and "quadloom_quads 3" in store.metrics()
 
 
+def test_inferred_engine(spark, tmp_path):
+    store = QuadStore(spark, str(tmp_path / "s"))
+    store.update(f"INSERT DATA {{ <e:x> a <e:A> . <e:A> <{v.SUB_CLASS}> <e:B> }}")
+    ask = "ASK { <e:x> a <e:B> }"
+    assert not store.engine().ask(ask) and store.inferred_engine(Reasoner("rules-mvp")).ask(ask) and not store.inferred_engine(Reasoner()).ask(ask)
+    assert store.stats()["quad_count"] == 2
+
+
 def test_gate(spark, tmp_path):
     store, gate = QuadStore(spark, str(tmp_path / "s")), Gate(Reasoner("rules-mvp"))
     store.update("PREFIX o: <%s> PREFIX : <e:> INSERT DATA { :A o:disjointWith :B . :x a :A }" % v.OWL, gate)
