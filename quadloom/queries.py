@@ -282,6 +282,18 @@ in_store("tell", lambda x: x.tell(_STATEMENT, "turtle", gate=Gate(Reasoner("rule
 in_store("backup_restore", _restored, _NATIONS)
 
 
+@query(f"select {iri('n_nationkey', 'nation')} as n, 'region/' || n_regionkey as r from nation")
+def inferred_read_model(spark, sf_dir):
+    """What is asserted and what follows from it, in one dataset."""
+    df = frame(spark, sf_dir, "nation")
+    named = lambda kind, key: F.concat(F.lit(f"<{BASE}{kind}/"), F.col(key).cast("string"), F.lit(">"))
+    quads = df.select(named("nation", "n_nationkey").alias("s"), F.lit(f"<{BASE}in>").alias("p"), named("region", "n_regionkey").alias("o"), F.lit("").alias("g"))
+    store = stored(State(quads, spark.createDataFrame([], "g string")))
+    store.update(f"INSERT DATA {{ <{BASE}in> <{v.SUB_PROPERTY}> <{BASE}within> . <{BASE}holds> <{v.INVERSE_OF}> <{BASE}within> }}")
+    found = store.inferred_engine(Reasoner("rules-mvp")).select(PREFIX + "SELECT ?n ?r { ?n ex:within ?r . ?r ex:holds ?n }", native=True)
+    return found.select("n", F.substring(F.col("r"), len(BASE) + 1, 100).alias("r"))
+
+
 @query(f"select distinct '<{BASE}lang/' || lang || '>' as g from documents where lang is not null")
 def named_graphs(spark, sf_dir):
     return documents_by_language(spark, sf_dir).graphs.where("g is not null").select("g")
@@ -559,7 +571,12 @@ def consistency_different_from(spark, sf_dir):
     return consistency.different(triples, found, schema).select(F.col("left").alias("l"), F.col("right").alias("r"))
 
 
-@query()
+@query(
+    "with f as (select distinct 'ps/' || l_partkey || '/' || l_suppkey as s, 'Flag' || l_returnflag as o from lineitem), "
+    "focus as (select min(a.s) as x from f a join f b on a.s = b.s and a.o = 'FlagA' and b.o = 'FlagR') "
+    f"select s, '{v.TYPE}' as p, o, case when s = x then 100 else 0 end + case when s = x and o in ('FlagA', 'FlagR') then 300 else 0 end + case o when 'FlagA' then 80 + 60 when 'FlagR' then 70 + 50 else 0 end as score "
+    "from f, focus where s = x or o in ('FlagA', 'FlagR') order by score desc, s, o limit 5"
+)
 def reject_attribution(spark, sf_dir):
     inserted = line_types(spark, sf_dir)
     triples, types, found, schema = closed(inserted, [("FlagA", v.DISJOINT_WITH, "FlagR")])
