@@ -43,8 +43,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def fingerprints_of(buf: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> np.ndarray:
-    """The fingerprint of each text of a chunk."""
+def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles of a chunk, and for each text the range of its own."""
     starts, ends, first = bv.space_words(buf, offsets)
     n = len(offsets) - 1
     lengths = ends - starts
@@ -62,8 +62,12 @@ def fingerprints_of(buf: np.ndarray, offsets: np.ndarray, width: int = SHINGLE)
     owner = np.repeat(np.arange(n), shingles)
     head = first[owner] + np.arange(len(owner)) - bounds[owner]
     last = np.minimum(head + width, first[owner + 1])
-    hashes = bv.xxh64_spans(joined, begin[head], begin[last] - 1 - begin[head], SEED)
-    return bv.majority(hashes, bounds)
+    return bv.xxh64_spans(joined, begin[head], begin[last] - 1 - begin[head], SEED), bounds
+
+
+def fingerprints_of(buf: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each text of a chunk."""
+    return bv.majority(*shingle_hashes(buf, offsets, width))
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -217,12 +221,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(with_fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = components(links(nodes, nodes.count()))
+    return grouped(rows, nodes, found).select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
+
+
+def grouped(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for each of ``rows``; nodes: (fp, least), found: (node, root) of ``components``."""
     roots = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # only the fingerprints that have links need the least id of a component
     linked = found.select("node", "root").union(found.select(F.col("root").alias("node"), "root").distinct())
     named = linked.join(nodes, linked.node == nodes.fp).groupBy("root").agg(F.min("least").alias("component"))
     ids = roots.join(named, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
+    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +239,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows without an id stay: nothing names them.  Of rows that repeat an id one stays.
     """
-    groups = written(near_duplicates(docs, id_col, text_col), "groups")
+    return heads_of(docs, near_duplicates(docs, id_col, text_col), id_col)
+
+
+def heads_of(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id names their component in ``groups`` (doc_id, component_id), and those without an id."""
+    groups = written(groups, "groups")
     heads = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     heads = heads.select(F.col("doc_id").alias("_head"), F.col("n").alias("_n"))
     kept = docs.join(heads, docs[id_col] == heads["_head"])
