@@ -38,6 +38,14 @@ _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[*SYMBOLS]] = True
 
 
+def _inside(grams: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Only the n-grams of ``width`` that end in the text where they begin, and each text's range of them."""
+    counts = np.maximum(0, np.diff(bounds) - width + 1)
+    ranges = np.zeros(len(bounds), dtype=np.int64)
+    np.cumsum(counts, out=ranges[1:])
+    return grams[np.repeat(bounds[:-1] - ranges[:-1], counts) + np.arange(ranges[-1])], ranges
+
+
 def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple]:
     """For each kind of n-gram the hashed features and each text's range of them; and words with their hashes."""
     starts, ends, first = bv.space_words(buf, offsets)
@@ -45,11 +53,11 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarra
     shift = np.uint64(64 - BITS)
     kinds = [((hashes >> shift).astype(np.int32), first)]
     pairs = bv.mix64(hashes[:-1] * np.uint64(3) + hashes[1:]) >> shift if len(hashes) > 1 else np.zeros(0, np.uint64)
-    kinds.append((pairs.astype(np.int32) + (1 << BITS), np.minimum(first, len(pairs))))
+    kinds.append(_inside(pairs.astype(np.int32) + (1 << BITS), first, 2))
     raw = buf.astype(np.uint32)
     grams = (raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) if len(raw) > 2 else np.zeros(0, np.uint32)
     grams = (grams * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)).astype(np.int32) + (2 << BITS)
-    kinds.append((grams, np.minimum(offsets, len(grams))))
+    kinds.append(_inside(grams, offsets, 3))
     return kinds, (starts, ends, first, hashes)
 
 
@@ -64,9 +72,8 @@ class Model:
         """The calibrated probability of good quality of each text."""
         score = np.full(len(kinds[0][1]) - 1, self.bias)
         for feature, ranges in kinds:
-            sums = np.zeros(len(feature) + 1)
-            np.cumsum(self.weights[feature], out=sums[1:])
-            score += (sums[ranges[1:]] - sums[ranges[:-1]]) / np.maximum(1, np.diff(ranges))
+            owner = np.repeat(np.arange(len(score)), np.diff(ranges))  # summed text by text, so neighbours do not change rounding either
+            score += np.bincount(owner, self.weights[feature], len(score)) / np.maximum(1, np.diff(ranges))
         return 1 / (1 + np.exp(-np.clip(self.slope * score + self.shift, -500, 500)))
 
 
