@@ -122,18 +122,23 @@ def model_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def markov_spans(text: str, model: np.ndarray, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs that overlap no span of the rules (``taken``, by start) and that the models call random."""
+    """Runs that the models call random; of a run that spans of the rules (``taken``, by start) overlap, each piece of ``RUN`` or more characters beside them."""
     found = []
     begins = [y for y, _, _ in taken]
     reach = [0, *itertools.accumulate((z for _, z, _ in taken), max)]  # the furthest end of the first spans
     for m in _RUN_PATTERN.finditer(text):
-        a, b = m.span()
-        if reach[bisect.bisect_left(begins, b)] > a:
-            continue
-        raw = np.frombuffer(m[0].encode(), np.uint8)
-        score = model[256, raw[0]] + model[raw[:-1], raw[1:]].sum()
-        if score > LLR and score > PER_CHARACTER * len(raw):
-            found.append((a, b, "markov"))
+        at, end = m.span()
+        first, last = bisect.bisect_right(begins, at), bisect.bisect_left(begins, end)
+        at = max(at, reach[first])
+        for k in range(first, last + 1):
+            a, b = at, min(end, begins[k]) if k < last else end
+            at = max(at, reach[k + 1]) if k < last else end
+            if b - a < RUN:
+                continue
+            raw = np.frombuffer(text[a:b].encode(), np.uint8)
+            score = model[256, raw[0]] + model[raw[:-1], raw[1:]].sum()
+            if score > LLR and score > PER_CHARACTER * len(raw):
+                found.append((a, b, "markov"))
     return found
 
 
