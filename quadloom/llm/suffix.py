@@ -4,24 +4,29 @@
     the leftmost least-hashed ``GRAM``-byte string in it.  Equal windows have
     equal anchors at equal offsets, so only windows of one anchor hash can be
     equal, and every window has one owner.  The windows of an anchor's place
-    form its context (at most ``LENGTH + SPAN - 1`` bytes); equal contexts are
-    counted, not copied.  Contexts that occur twice are covered whole; anchors
-    whose one context occurs once have no repeated window.
-2.  *Index.*  What is left, anchors with several different contexts, goes once
-    per distinct context to blocks that hold whole anchors.  A block's
-    Burrows-Wheeler transform is kept as runs with the suffix positions at run
-    heads and run ends.  Only there are common prefixes measured; between them
-    the matching statistics are streamed through the text, each one less than
-    the one before.  Positions with a statistic of 400 or more start a repeated
-    window.
-3.  *Hot anchors.*  An anchor with more than ``MOST`` different contexts would
-    not fit one block.  Its windows are counted by 128-bit fingerprints, which
-    are pre-aggregated before the shuffle, so no group is ever gathered.
+    form its context (at most ``2 * LENGTH - GRAM`` bytes), named by a 128-bit
+    BLAKE2b digest of its bytes.  Anchors whose one context occurs once have no
+    repeated window.
+2.  *Run-length index.*  Equal contexts are one run: a context that occurs
+    twice is covered whole, and goes on once with its number of copies.  The
+    different contexts of an anchor that has several go to blocks that hold
+    whole anchors.  A block's Burrows-Wheeler transform is kept as runs with
+    the suffix positions at run heads and run ends.  Only there are common
+    prefixes measured; between them the matching statistics are streamed
+    through the text, each one less than the one before.  Positions with a
+    statistic of 400 or more start a repeated window.  The suffix order from
+    which a piece's runs are cut is built in full, so a task's memory follows
+    the piece: about ``BLOCK`` bytes, or one anchor with ``MOST`` contexts.
+3.  *Hot anchors.*  The contexts of an anchor with more than ``MOST`` of them
+    are routed again, by anchors of a longer string (half way to ``LENGTH``
+    each time), which tell apart what the shorter one did not.  An anchor of
+    ``LENGTH`` bytes is a window itself and has one context, so this ends; the
+    result does not depend on ``MOST``.
 
 Texts are UTF-8 bytes; null texts are empty; texts under 400 bytes lose
-nothing; matches never cross documents; repeated rows are repeated documents,
-so all of a repeated long text goes.  Every row of the input has a row in the
-result, null ids included.
+nothing; matches never cross documents; repeated rows (null ids included) are
+repeated documents, so all of a repeated long text goes.  Every row of the
+input has a row in the result.  Ids are integers that fit a long.
 """
 
 from __future__ import annotations
@@ -39,33 +44,31 @@ from quadloom.llm.common import batch, null_safe_id, pick, small_batches, writte
 
 LENGTH = 400
 GRAM = 152
-#: Windows that one anchor can own.
-SPAN = LENGTH - GRAM + 1
-#: Different contexts of one anchor that the index takes.
-MOST = 3000
-#: Bytes of contexts in one block of the index.
-BLOCK = 1 << 17
+#: Different contexts of one anchor in one piece of the index; an anchor with more is routed again by longer strings.
+MOST = 1000
+#: Bytes of contexts in one piece of the index, and in one group of pieces, which goes to one task.
+BLOCK, GROUP = 1 << 17, 2 << 20
 _ANCHOR_CHUNK = 1 << 17
 
 
-def anchors_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...] | None:
-    """For each anchor place of a chunk: text, first window, windows, anchor hash, context hash."""
-    n, m, starts = len(buf), len(buf) - GRAM + 1, len(buf) - LENGTH + 1
+def anchors_of(buf: np.ndarray, offsets: np.ndarray, width: int = GRAM) -> tuple[np.ndarray, ...] | None:
+    """For each anchor place of a chunk: text, first window, windows, anchor hash, and the two halves of its context's digest."""
+    n, m, starts, span = len(buf), len(buf) - width + 1, len(buf) - LENGTH + 1, LENGTH - width + 1
     lengths = np.diff(offsets)
     if starts <= 0 or not (lengths >= LENGTH).any():
         return None
     sums = bv.prefix_sums(buf)
-    gram = sums[GRAM:] - sums[:m]
+    gram = sums[width:] - sums[:m]
     gram *= bv._INV.upto(n + 1)[:m]
-    rows = -(-m // SPAN)
-    key = np.full(rows * SPAN, bv.U64(bv._MASK))
+    rows = -(-m // span)
+    key = np.full(rows * span, bv.U64(bv._MASK))
     np.multiply(gram, bv.U64(0xD6E8FEB86659FD93), out=key[:m])
     key[:m] &= bv.U64(0xFFFFFFFF00000000)
     key[:m] |= np.arange(m, dtype=np.uint64)
-    key = key.reshape(rows, SPAN)
+    key = key.reshape(rows, span)
     ahead = np.minimum.accumulate(key, axis=1).ravel()
     behind = np.minimum.accumulate(key[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[:starts], ahead[SPAN - 1 : SPAN - 1 + starts])
+    least = np.minimum(behind[:starts], ahead[span - 1 : span - 1 + starts])
     # windows must end in the text in which they start
     valid = np.zeros(n + 1, dtype=np.int32)
     fits = lengths >= LENGTH
@@ -85,19 +88,28 @@ def anchors_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...] |
     lo, hi = np.flatnonzero(first), np.flatnonzero(last)
     at = (least[lo] & bv.U64(0xFFFFFFFF)).astype(np.int64)
     text = np.searchsorted(offsets, lo, "right") - 1
-    context = bv.fold([bv.span_hash(sums, lo, hi + LENGTH), (at - lo).astype(np.uint64)])
-    return text, lo - offsets[text], hi - lo + 1, bv.mix64(gram[at]), context
+    raw = memoryview(np.ascontiguousarray(buf))
+    digests = b"".join([hashlib.blake2b(raw[a:z], digest_size=16).digest() for a, z in zip(lo.tolist(), (hi + LENGTH).tolist())])
+    context = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    return text, lo - offsets[text], hi - lo + 1, bv.mix64(gram[at]), context[:, 0], context[:, 1]
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("h", pa.int64()), ("c", pa.int64())])
-    for b in batches:
-        for rows, buf, offsets in bv.chunks(b, "text", _ANCHOR_CHUNK):
-            found = anchors_of(buf, offsets)
-            if found is not None:
-                text, lo, n, h, c = found
-                ids, hashes = (rows.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                yield batch(out, ids[text], hashes[text], lo, n.astype(np.int32), h.view(np.int64), c.view(np.int64))
+_ANCHORS = "id long, th long, lo long, n int, h long, c long, d long"
+
+
+def _anchor_rows(width: int):
+    out = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("h", pa.int64()), ("c", pa.int64()), ("d", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, buf, offsets in bv.chunks(b, "text", _ANCHOR_CHUNK):
+                found = anchors_of(buf, offsets, width)
+                if found is not None:
+                    text, lo, n, h, c, d = found
+                    ids, hashes = (rows.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                    yield batch(out, ids[text], hashes[text], lo, n.astype(np.int32), h.view(np.int64), c, d)
+
+    return run
 
 
 def suffix_array(text: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
@@ -195,9 +207,9 @@ def matching_statistics(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _index_blocks(t: pa.Table) -> pa.Table:
-    """Contexts of whole anchors in; (h, c, from, to) out: bytes of the context that repeated windows cover."""
+    """Contexts of whole anchors in; (c, d, from, to) out: bytes of the context that repeated windows cover."""
     t = t.sort_by("h")
-    h, c, n = (t.column(k).to_numpy() for k in ("h", "c", "n"))
+    h, c, d = (t.column(k).to_numpy() for k in ("h", "c", "d"))
     body = t.column("body").to_pylist()
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = np.cumsum([len(x) for x in body])
@@ -217,31 +229,20 @@ def _index_blocks(t: pa.Table) -> pa.Table:
         found.append((which + a, lo - bounds[which], hi - 1 + LENGTH - bounds[which]))
     which, lo, hi = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
     which = which.astype(np.int64)
-    return pa.table({"h": pa.array(h[which], pa.int64()), "c": pa.array(c[which], pa.int64()), "a": pa.array(lo, pa.int32()), "b": pa.array(hi, pa.int32())})
+    return pa.table({"c": pa.array(c[which], pa.int64()), "d": pa.array(d[which], pa.int64()), "a": pa.array(lo, pa.int32()), "b": pa.array(hi, pa.int32())})
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, places: h, c, lo, n) in; the bytes of each context out."""
-    out = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
+    """(id, th, text, places: h, c, d, lo, n) in; the bytes of each context out, once for neighbouring rows that are equal."""
+    out = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("body", pa.binary())])
+    last = None
     for b in batches:
         for rows, buf, offsets in bv.chunks(b, "text"):
             raw = buf.tobytes()
-            for base, places in zip(offsets[:-1].tolist(), rows.column(1).to_pylist()):
-                if places:
-                    yield batch(out, *zip(*[(p["h"], p["c"], p["n"], raw[base + p["lo"] : base + p["lo"] + p["n"] - 1 + LENGTH]) for p in places]))
-
-
-def _window_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two 64-bit hashes of each window of a hot anchor's context."""
-    out = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("at", pa.int32()), ("x", pa.int64()), ("y", pa.int64())])
-    for b in batches:
-        for h, c, body in zip(*(b.column(k).to_pylist() for k in ("h", "c", "body"))):
-            buf = np.frombuffer(body, np.uint8)
-            lo = np.arange(len(buf) - LENGTH + 1)
-            x = bv.span_hash(bv.prefix_sums(buf), lo, lo + LENGTH)
-            y = bv.span_hash(bv.prefix_sums(buf ^ np.uint8(0x5A)), lo, lo + LENGTH)
-            k = len(lo)
-            yield batch(out, np.full(k, h), np.full(k, c), lo.astype(np.int32), x.view(np.int64), y.view(np.int64))
+            for *key, base, places in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), offsets[:-1].tolist(), rows.column(3).to_pylist()):
+                if key != last:
+                    yield batch(out, *zip(*[(p["h"], p["c"], p["d"], raw[base + p["lo"] : base + p["lo"] + p["n"] - 1 + LENGTH]) for p in places]))
+                last = key
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,35 +268,45 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(out, *zip(*result))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(the documents keyed by id and text hash; spans a..b (bytes) of them that repeated windows cover, overlaps and repeats included)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    keyed = pick(docs, doc_id=id_col, text=text_col).withColumns({"id": null_safe_id("doc_id"), "th": F.xxhash64("text")})
-    rows = written(keyed.where(F.octet_length("text") >= LENGTH).select("id", "th", "text").mapInArrow(_anchor_rows, "id long, th long, lo long, n int, h long, c long"), "anchors")
-    groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("total"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("total > 1")
+def covered(texts: DataFrame, width: int = GRAM, most: int | None = None) -> DataFrame:
+    """(id, th, a, b): bytes that repeated windows cover, overlaps and repeats included.
+
+    texts: (id, th, text) of at least ``LENGTH`` bytes; equal ids and hashes mean equal texts.
+    """
+    most = MOST if most is None else most
+    rows = written(texts.mapInArrow(_anchor_rows(width), _ANCHORS), "anchors")
+    groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("total"), *(f(k).alias(f"{k}{i}") for k in "cd" for i, f in enumerate((F.min, F.max)))).where("total > 1")
     # a table of its own, so that the join has an exchange on both sides and the rows of a hot anchor can be split
-    groups = written(groups.select("h", (F.col("c0") == F.col("c1")).alias("uniform")), "groups")
+    groups = written(groups.selectExpr("h", "c0 = c1 and d0 = d1 as uniform"), "groups")
     mine = written(rows.join(groups, "h"), "repeated")
     mixed = mine.where(~F.col("uniform"))
-    contexts = written(mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "th", "lo", "n")).alias("at")), "contexts")
-    sizes = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("different"))
+    # a digest names a context's bytes, and so its anchor
+    contexts = written(mixed.groupBy("h", "c", "d").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "th", "lo", "n")).alias("at")), "contexts")
+    hot = written(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("different")).where(F.col("different") > most).select("h"), "hot")
     total = contexts.agg(F.coalesce(F.sum(F.col("at.n") + F.lit(LENGTH)), F.lit(0))).first()[0]
-    hot = F.broadcast(sizes.where(F.col("different") > MOST).select("h")) if contexts.limit(1).count() and sizes.where(F.col("different") > MOST).limit(10_001).count() <= 10_000 else sizes.where(F.col("different") > MOST).select("h")
-    places = contexts.join(hot.withColumn("hot", F.lit(True)), "h", "left")
-    texts = keyed.where(F.octet_length("text") >= LENGTH).select("id", "th", "text")
-    wanted = places.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("h", "c", F.col("at.lo").alias("lo"), F.col("at.n").alias("n"))).alias("places"))
-    bodies = written(texts.join(wanted, ["id", "th"]).select("text", "places").mapInArrow(_cut_out, "h long, c long, n int, body binary").join(hot.withColumn("hot", F.lit(True)), "h", "left"), "bodies")
-    blocks = max(1, int(total) // (4 << 20))
-    indexed = bodies.where("hot is null").withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks))).select("block", "h", "c", "n", "body").groupBy("block").applyInArrow(_index_blocks, "h long, c long, a int, b int")
-    prints = written(bodies.where("hot").select("h", "c", "body").mapInArrow(_window_prints, "h long, c long, at int, x long, y long"), "prints")
-    seen = prints.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y")
-    counted = prints.join(seen, ["x", "y"]).select("h", "c", F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b"))
-    whole = contexts.where("copies > 1").select("h", "c", F.lit(0).alias("a"), (F.col("at.n") + (LENGTH - 1)).alias("b"))
-    inside = indexed.unionByName(counted).unionByName(whole)
+    wanted = contexts.groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("h", "c", "d", F.col("at.lo").alias("lo"), F.col("at.n").alias("n"))).alias("places"))
+    # rows that repeat an id and its text give a context several times; copies are dropped in each task before they are shuffled
+    cut = texts.join(wanted, ["id", "th"]).select("id", "th", "text", "places").mapInArrow(_cut_out, "h long, c long, d long, body binary")
+    bodies = written(cut.dropDuplicates(["h", "c", "d"]), "bodies")
+    few = bodies
+    whole = contexts.where("copies > 1").select("c", "d", F.lit(0).alias("a"), (F.col("at.n") + (LENGTH - 1)).alias("b"))
+    inside = whole
+    if not hot.isEmpty():
+        few = bodies.join(hot, "h", "left_anti")
+        again = bodies.join(hot, "h", "left_semi").select(F.col("c").alias("id"), F.col("d").alias("th"), F.col("body").alias("text"))
+        deeper = covered(again, width + -(-(LENGTH - width) // 2), most)
+        inside = inside.unionByName(deeper.select(F.col("id").alias("c"), F.col("th").alias("d"), F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")))
+    dealt = few.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(max(1, int(total) // GROUP)))).select("block", "h", "c", "d", "body")
+    inside = inside.unionByName(dealt.groupBy("block").applyInArrow(_index_blocks, "c long, d long, a int, b int"))
     spans = mine.where("uniform").select("id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + (LENGTH - 1)).alias("b"))
-    spans = spans.unionByName(mixed.join(inside, ["h", "c"]).select("id", "th", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b")))
-    return keyed, spans
+    return spans.unionByName(mixed.join(inside, ["c", "d"]).select("id", "th", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b")))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(the documents keyed by id and text hash; spans a..b (bytes) of them that repeated windows cover, overlaps and repeats included)."""
+    small_batches(docs.sparkSession)
+    keyed = pick(docs, doc_id=id_col, text=text_col).withColumns({"id": null_safe_id("doc_id"), "th": F.xxhash64("text")})
+    return keyed, covered(keyed.where(F.octet_length("text") >= LENGTH).select("id", "th", "text"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -362,6 +362,35 @@ def test_repeated_strings(spark, docs, rows, most, monkeypatch):
         assert suffix.without_repeats(empty(spark)).count() == 0
 
 
+def test_repeated_strings_in_repeated_rows(spark):
+    """5,000 equal rows, with an id and without one, that share strings with others and among themselves."""
+    rnd = random.Random(11)
+    text = "".join(rnd.choice("abcdef ") for _ in range(1300))
+    other = "x" * 30 + text[300:750] + "y" * 500 + text[100:420]
+    rows = [(1, text)] * 5000 + [(None, text[:1000])] * 5000 + [(2, other), (None, other), (3, "z" + text[:399]), (4, None), (5, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = bag(suffix.without_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    distinct = list(dict.fromkeys(rows))
+    twice = [t for i, t in distinct for _ in range(min(2, rows.count((i, t))))]
+    told = dict(zip(twice, brute_repeats(twice)))
+    assert got == Counter((i, *told[t]) for i, t in rows)
+
+
+def test_repeated_strings_round_an_anchor_with_many_contexts(spark):
+    """3,300 different texts round one string that is longer than an anchor; some pairs share 400 bytes and more."""
+    rnd = random.Random(12)
+    noise = lambda k: "".join(rnd.choices("abcdefghijklmnop", k=k))
+    shared = noise(230)
+    texts = [noise(rnd.randint(120, 200)) + shared + noise(rnd.randint(120, 200)) for _ in range(3300)]
+    for k in range(0, 200, 2):
+        at = texts[k].index(shared)
+        texts[k + 1] = noise(50) + texts[k][at - rnd.randint(60, 110) : at + 230 + rnd.randint(60, 110)] + noise(150)
+    found = brute_repeats(texts)
+    assert sum(x[1] > 0 for x in found) > 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert bag(suffix.without_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter((k, *x) for k, x in enumerate(found))
+
+
 def test_matching_statistics():
     rnd = np.random.default_rng(2)
     for _ in range(60):
