@@ -68,8 +68,8 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, urls.LISTED))).alias("host"))
-    return urls.judged(table(spark, sf_dir, "pages"), listed)
+    pages = table(spark, sf_dir, "pages")
+    return urls.judged(pages, urls.production_list(pages))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,15 +122,15 @@ def _op10_sql() -> str:
     fits = [(f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))", h + p, v) for h, p, v in rules]
     rule = " ".join(f"when {c} then '{n}'" for c, n, _ in fits)
     says = " ".join(f"when {c} then '{v}'" for c, _, v in fits)
-    listed = " or ".join(f"host = '{h}' or ends_with(host, '.{h}')" for h in urls.LISTED)
+    listed = " or ".join(f"host = '{n}.{u}' or ends_with(host, '.{n}.{u}')" for n in urls.LISTED_NAMES for u in urls.LISTED_UNDER)
     return f"""
 with parsed as (
-  select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+  select page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
-  from pages)
-select page_id, host, path, case {rule} end as rule,
-  case {says} when {listed} then 'block' else 'allow' end as verdict, ({listed}) as listed
-from parsed
+  from pages),
+thin as (select distinct host || path as a from parsed where host <> '' and path <> '' and length(html) - length(replace(html, '<p>', '')) < {3 * urls.PARAGRAPHS}),
+found as (select page_id, host, path, ({listed} or host <> '' and path <> '' and host || path in (select a from thin)) as listed from parsed)
+select page_id, host, path, case {rule} end as rule, case {says} when listed then 'block' else 'allow' end as verdict, listed from found
 """
 
 
