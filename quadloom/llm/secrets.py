@@ -3,12 +3,21 @@
 Three rules find labelled assignments, access keys and long hexadecimal runs.
 Beside them, two first-order Markov models over characters score every other
 run of 20 or more key characters: one model of random strings, one of ordinary
-words and identifiers, both trained from labelled samples.  A run whose
-log-likelihood ratio is over ``LLR`` in all and over ``PER_CHARACTER`` for a
-character is reported as ``markov``.
+words and identifiers.  A run whose log-likelihood ratio is over ``LLR`` in all
+and over ``PER_CHARACTER`` for a character is reported as ``markov``.
+
+Both are trained from labelled samples.  Some are labelled by how they were
+made: keys drawn from the alphabets of key generators, and identifiers joined
+from a list of words.  The others come from all documents and are labelled by
+the rules: key characters of the secrets that they find (``RUN`` or more) are
+random, runs without digits outside of every match are ordinary.  Each task
+counts pairs of characters in a table of fixed size, and the tables are summed,
+so what is learnt grows with the corpus and what travels does not.
 
 Positions are code points, ends exclusive.  Null texts are empty; texts
-without a secret have no spans; repeated rows give repeated results.
+without a secret have no spans; repeated rows give repeated results; a corpus
+without any text leaves the models to the made samples.  Ids are integers that
+fit a long.
 """
 
 from __future__ import annotations
@@ -25,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm import bytesvec as bv
-from quadloom.llm.common import batch, pick, small_batches, sparse, whole_texts
+from quadloom.llm.common import batch, pick, small_batches
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -33,12 +42,14 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "markov")
 #: Least characters of a run that the models judge, and the thresholds of the ratio (natural logarithms).
 RUN, LLR, PER_CHARACTER = 20, 14.0, 0.6
-#: Documents from which ordinary words are learnt, and the bytes of their whole texts together.
-TRAIN_DOCS, TRAIN_BYTES = 400, 8 << 20
+#: Weights of the corpus's samples in the models of random and of ordinary strings; the made samples have the rest.
+RANDOM_SHARE, ORDINARY_SHARE = 0.2, 0.5
 KEYWORDS = (b"pass", b"secret", b"token", b"api")
 
 _KEY = np.zeros(256, dtype=bool)
 _KEY[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]] = True
+_DIGIT = np.zeros(256, dtype=np.int32)
+_DIGIT[[*b"0123456789+"]] = 1
 _HEX = np.zeros(256, dtype=bool)
 _HEX[[*b"0123456789abcdef"]] = True
 _RUN_PATTERN = re.compile(rf"[A-Za-z0-9+/_-]{{{RUN},}}")
@@ -52,20 +63,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def train(random_samples: list[str], ordinary_samples: list[str]) -> np.ndarray:
-    """Log-likelihood ratios: row 256 is the first character, row a column b is b after a."""
-    logs = []
-    for samples in (random_samples, ordinary_samples):
-        counts = np.full((257, 256), 0.02)
-        for s in samples:
-            raw = np.frombuffer(s.encode(), np.uint8)
-            if len(raw):
-                counts[256, raw[0]] += 1
-                np.add.at(counts, (raw[:-1], raw[1:]), 1)
-        backoff = counts.sum(axis=0, keepdims=True)
-        counts += 2 * backoff / backoff.sum()
-        logs.append(np.log(counts / counts.sum(axis=1, keepdims=True)))
-    return logs[0] - logs[1]
+def tallied(samples: list[str]) -> np.ndarray:
+    """How often each pair of bytes occurs: row 256 is the first byte, row a column b is b after a."""
+    counts = np.zeros((257, 256), dtype=np.int64)
+    for x in samples:
+        raw = np.frombuffer(x.encode(), np.uint8)
+        if len(raw):
+            counts[256, raw[0]] += 1
+            np.add.at(counts, (raw[:-1], raw[1:]), 1)
+    return counts
+
+
+def likelihoods(counts: np.ndarray) -> np.ndarray:
+    """Smoothed probabilities of the next byte, row by row."""
+    counts = counts + 0.02
+    backoff = counts.sum(axis=0, keepdims=True)
+    counts += 2 * backoff / backoff.sum()
+    return counts / counts.sum(axis=1, keepdims=True)
+
+
+def train(random_made: np.ndarray, ordinary_made: np.ndarray, random_found: np.ndarray | None = None, ordinary_found: np.ndarray | None = None) -> np.ndarray:
+    """Log-likelihood ratios from tallies: of samples made with their label, and of those found in the corpus (any number, none too)."""
+
+    def mixed(made: np.ndarray, found: np.ndarray | None, share: float) -> np.ndarray:
+        share = share if found is not None and found.any() else 0.0
+        return (1 - share) * likelihoods(made) + (share * likelihoods(found) if share else 0.0)
+
+    return np.log(mixed(random_made, random_found, RANDOM_SHARE)) - np.log(mixed(ordinary_made, ordinary_found, ORDINARY_SHARE))
 
 
 def random_strings(n: int = 3000, seed: int = 11) -> list[str]:
@@ -76,7 +100,7 @@ def random_strings(n: int = 3000, seed: int = 11) -> list[str]:
     return ["".join(rng.choice(list(alphabets[k % len(alphabets)]), rng.integers(20, 48))) for k in range(n)]
 
 
-#: Words of ordinary identifiers, labelled negatives beside the corpus's own words.
+#: Words of ordinary identifiers, from which labelled negatives are made.
 IDENTIFIER_WORDS = (
     "account action address after align allow array base before begin block body buffer button cache call change char check child class clean client close code "
     "column command config content count create current data date default delete depth device digest display document domain download element empty enable end "
@@ -89,36 +113,72 @@ IDENTIFIER_WORDS = (
 ).split()
 
 
-def ordinary_strings(words: list[str], n: int = 6000, seed: int = 12) -> list[str]:
+def ordinary_strings(words: list[str] = IDENTIFIER_WORDS, n: int = 6000, seed: int = 12) -> list[str]:
     """Labelled negatives: the words themselves, and identifiers and paths joined from them."""
     rng = np.random.default_rng(seed)
-    words = [*IDENTIFIER_WORDS, *(w for w in words if w.isascii() and w.replace("-", "").isalpha())]
     out = list(words)
     for k in range(n):
-        pool = IDENTIFIER_WORDS if k % 2 else words
-        some = [pool[i] for i in rng.integers(0, len(pool), rng.integers(2, 6))]
+        some = [words[i] for i in rng.integers(0, len(words), rng.integers(2, 6))]
         joint = ("_", "-", "/", "")[k % 4]
         some = [w.capitalize() for w in some] if joint == "" else some
         out.append(joint.join(some) + (str(rng.integers(0, 2100)) if k % 5 == 0 else ""))
     return out
 
 
-def model_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> np.ndarray:
-    """Train on generated random strings and on the words of ``most`` documents at most, those whose id hashes least, with at most ``most_bytes`` of text.
-
-    Of the texts of a repeated id the least is used; rows without an id are not in the sample.
-    """
-    some = sparse(pick(docs, id=id_col, text=text_col).where("id is not null"), F.col("id"), most, docs.count())
-    some = some.groupBy("id").agg(F.min("text").alias("text")).withColumn("k", F.xxhash64("id", F.lit("sample"))).orderBy("k", "id").limit(most)
-    words: list[str] = []
-    for _, text in whole_texts(some, most_bytes):
-        parts, at = [], 0
-        for a, b, _ in base_spans(text):
-            if a >= at:
-                parts.append(text[at:a])
-            at = max(at, b)
-        words += re.findall(r"[A-Za-z]+(?:[_/-][A-Za-z]+)*", " ".join([*parts, text[at:]]))
-    return train(random_strings(), ordinary_strings(words))
+def tally_ordinary(counts: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> None:
+    """Add the runs of key characters without digits."""
+    starts, ends = bv.spans_of(_KEY[buf], offsets)
+    digits = np.concatenate([[0], np.cumsum(_DIGIT[buf])])
+    plain = digits[ends] == digits[starts]
+    starts, ends = starts[plain], ends[plain]
+    counts[256] += np.bincount(buf[starts], minlength=256)
+    edge = np.zeros(len(buf) + 1, dtype=np.int8)
+    edge[starts] += 1
+    edge[ends - 1] -= 1  # pairs begin at every byte of a run but its last
+    first = np.flatnonzero(np.cumsum(edge[:-1]))
+    counts[:256] += np.bincount(buf[first].astype(np.int64) << 8 | buf[first + 1], minlength=1 << 16).reshape(256, 256)
+
+
+def corpus_tallies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Tallies of random and of ordinary samples in all documents, as the rules label them."""
+    small_batches(docs.sparkSession)
+    out = pa.schema([("label", pa.int32()), ("cell", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 257, 256), dtype=np.int64)
+        for b in batches:
+            for rows, buf, offsets in bv.chunks(b, "text"):
+                flags = suspects(buf, offsets)
+                outside, values = [], []
+                for k in np.flatnonzero(flags).tolist():
+                    text = buf[offsets[k] : offsets[k + 1]].tobytes().decode()
+                    at = 0
+                    for a, z, _ in base_spans(text):
+                        outside.append(text[at : max(at, a)])
+                        values += _RUN_PATTERN.findall(text[max(at, a) : z])
+                        at = max(at, z)
+                    outside.append(text[at:])
+                counts[0] += tallied(values)
+                whole = buf
+                if outside:  # blanks take the place of these texts, which are counted without their secrets
+                    whole = np.where(np.repeat(flags, np.diff(offsets)), np.uint8(0x20), buf)
+                    rest = np.frombuffer(" ".join(outside).encode(), np.uint8)
+                    tally_ordinary(counts[1], rest, np.array([0, len(rest)]))
+                tally_ordinary(counts[1], whole, offsets)
+        for label, own in enumerate(counts.reshape(2, -1)):
+            cells = np.flatnonzero(own)
+            yield batch(out, np.full(len(cells), label, np.int32), cells.astype(np.int32), own[cells])
+
+    summed = np.zeros((2, 257 * 256), dtype=np.int64)
+    # at most one row for each cell of the two tables
+    for r in pick(docs, id=id_col, text=text_col).select("text").mapInArrow(run, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).collect():
+        summed[r["label"], r["cell"]] = r["n"]
+    return summed[0].reshape(257, 256), summed[1].reshape(257, 256)
+
+
+def model_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Train on the made samples and on all documents."""
+    return train(tallied(random_strings()), tallied(ordinary_strings()), *corpus_tallies(docs, id_col, text_col))
 
 
 def markov_spans(text: str, model: np.ndarray, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:

@@ -114,34 +114,44 @@ def test_secret_spans(spark, docs, rows):
     assert secrets.secret_spans(empty(spark), model).count() == 0
 
 
-def test_markov_models_tell_held_out_strings_apart(sf, spark):
-    model = secrets.model_from(queries.table(spark, sf, "documents"))
-    score = lambda s: model[256, s.encode()[0]] + sum(model[a, b] for a, b in zip(s.encode(), s.encode()[1:]))
-    rnd = random.Random(9)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    strings = ["".join(rnd.choice(alphabet) for _ in range(32)) for _ in range(300)]
-    assert sum(score(s) > max(secrets.LLR, secrets.PER_CHARACTER * len(s)) for s in strings) >= 290
-    text = " ".join(r.text for r in queries.table(spark, sf, "documents").select("text").collect())
-    ordinary = set(re.findall(r"[A-Za-z]{20,}", text))
-    assert sum(score(s) > max(secrets.LLR, secrets.PER_CHARACTER * len(s)) for s in ordinary) <= 0.01 * len(ordinary) + 1
-
-
-def test_markov_sample_is_bounded_by_whole_texts(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(secrets, "train", lambda random_samples, ordinary: seen.append(ordinary))
-    far = "word " * 3_000 + "zebrafinch"
-    docs = spark.createDataFrame([(1, far), (1, far), (2, "quokkas secret=abcdefgh numbat"), (None, "axolotl"), (3, None)], "doc_id long, text string")
-    secrets.model_from(docs)
-    secrets.model_from(docs, most_bytes=5_000)
-    assert "zebrafinch" in seen[0] and "zebrafinch" not in seen[1]
-    assert all("quokkas" in s and "numbat" in s and "abcdefgh" not in s and "axolotl" not in s for s in seen)
+def held_out_figures(model, texts):
+    """(recall by alphabet of fresh random strings, share of ordinary runs of these texts called random, of fresh identifiers)."""
+    found = lambda s: bool(secrets.markov_spans(s, model, []))
+    fresh = secrets.random_strings(1800, seed=99)
+    recall = [float(np.mean([found(s) for s in fresh[k::6]])) for k in range(6)]
+    runs = {m for t in texts for m in re.findall(r"[A-Za-z_/-]{20,}", t or "")}
+    names = [s for s in secrets.ordinary_strings(n=4000, seed=98)[len(secrets.IDENTIFIER_WORDS) :] if len(s) >= 20]
+    return recall, float(np.mean([found(s) for s in runs])) if runs else 0.0, float(np.mean([found(s) for s in names]))
+
+
+def test_markov_models_tell_held_out_strings_apart(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    model = secrets.model_from(docs.where("doc_id % 2 = 0"))
+    recall, wrong_runs, wrong_names = held_out_figures(model, [r.text for r in docs.where("doc_id % 2 = 1").collect()])
+    assert min(recall[:4]) >= 0.95 and min(recall) >= 0.5
+    assert wrong_runs <= 0.01 and wrong_names <= 0.01
+
+
+def test_markov_tallies_are_those_of_all_documents(spark):
+    key = "Zx8Qp2Lm9Rt4Vw7Ny3Kd6Hb1"
+    texts = [None, "", "word " * 3_000 + "zebrafinch", "quokkas secret=" + key + " numbat", "é-a b2c snake_case/x", "a", "b"] + ["deadbeef" * 4 + " end"] * 3
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, "axolotl")], "doc_id long, text string").repartition(3)
+    random_found, ordinary_found = secrets.corpus_tallies(docs)
+    values = [key] + ["deadbeef" * 4] * 3
+    bare = [t.replace(" secret=" + key, " ") if t and key in t else (t or "").replace("deadbeef" * 4, "") for t in texts] + ["axolotl"]
+    runs = [m for t in bare for m in re.findall(r"[A-Za-z0-9+/_-]+", t) if not re.search(r"[0-9+]", m)]
+    assert (random_found == secrets.tallied(values)).all() and (ordinary_found == secrets.tallied(runs)).all()
+    none = secrets.corpus_tallies(docs.limit(0))
+    assert not none[0].any() and not none[1].any()
+    assert np.isfinite(secrets.train(secrets.tallied(values), secrets.tallied(runs), *none)).all()
 
 
 def test_markov_spans_leave_the_rules_spans_alone():
     model = np.full((257, 256), 9.0)
     text = " ".join("k" * 25 for _ in range(6))
     for taken in ([], [(0, 3, "x")], [(0, 60, "x"), (30, 31, "y")], [(25, 26, "x")], [(51, 53, "x"), (155, 160, "y")]):
-        want = [(a, a + 25, "markov") for a in range(0, 156, 26) if not any(a < z and y < a + 25 for y, z, _ in taken)]
+        free = "".join(" " if any(y <= i < z for y, z, _ in taken) else c for i, c in enumerate(text))
+        want = [(m.start(), m.end(), "markov") for m in re.finditer(r"k{20,}", free)]
         assert secrets.markov_spans(text, model, taken) == want
 
 
@@ -529,7 +539,7 @@ def brute_url(url, listed):
         host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
     fits = [(h, p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     parts = host.split(".")
-    hit = host != "" and any(".".join(parts[k:]) in listed for k in range(len(parts)))
+    hit = host != "" and (path != "" and host + path in listed or any(".".join(parts[k:]) in listed for k in range(len(parts))))
     if fits:
         h, p, v = max(fits, key=lambda r: len(r[0] + r[1]))
         return host, path, h + p, v, hit
@@ -541,11 +551,28 @@ def test_urls(spark):
     tops = ["net", "org", "com", "example.net", "example.com", "example.org", "xexample.com"]
     made = [None, "", "no scheme", "http://", "http://a.NET", "https://net/", "http://example.net/en/x?y://z", "x://example.com/de", "http://é.org/fr/", "http://org?x/fr/", "http://a.com#/b", "a\n://b.net/c"]
     made += [f"http://{rnd.choice('abcdefgh')}{rnd.randint(0, 99)}.{rnd.choice(tops)}/{rnd.choice(['en', 'de', 'fr', ''])}/{rnd.randint(0, 9)}" for _ in range(3000)]
-    listed = {f"{c}{k}.{t}" for c in "abc" for k in range(0, 99, 3) for t in tops} | {"xexample.com"}
+    listed = {f"{c}{k}.{t}" for c in "abc" for k in range(0, 99, 3) for t in tops} | {"xexample.com"} | {"://".join(u.split("://")[1:]).split("?")[0] for u in made[12:] if u.endswith("/en/7")}
     df = spark.createDataFrame([(k, u, "h") for k, u in enumerate(made)] + [(0, None, "h")], "page_id long, url string, host string")
-    keys = spark.createDataFrame([(x,) for x in listed] + [(None,), ("",), ("B5.NET",)], "host string")
-    expected = Counter((k, *brute_url(u, listed | {"b5.net"})) for k, u in [*enumerate(made), (0, None)])
-    for most in (urls.MOST_BYTES, 10):
-        assert bag(urls.judged(df, keys, most_bytes=most), "page_id", "host", "path", "rule", "verdict", "listed") == expected
-    assert urls.judged(df.limit(0), keys).count() == 0
-    assert urls.judged(df, keys.limit(0)).where("listed").count() == 0
+    keys = spark.createDataFrame([(x,) for x in listed] + [(None,), ("",), ("B5.NET",), ("D7.org/fr/3",)], "host string")
+    expected = Counter((k, *brute_url(u, listed | {"b5.net", "d7.org/fr/3"})) for k, u in [*enumerate(made), (0, None)])
+    for most in (urls.MOST_BYTES, 400):
+        assert bag(urls.judged(df, keys, entry_col="host", most_bytes=most), "page_id", "host", "path", "rule", "verdict", "listed") == expected
+    assert urls.judged(df.limit(0), keys, entry_col="host").count() == 0
+    assert urls.judged(df, keys.limit(0), entry_col="host").where("listed").count() == 0
+
+
+def test_cascades_are_exact_and_small(spark):
+    universe = spark.range(60_000).select(F.xxhash64("id").alias("k"))
+    listed = spark.range(0, 60_000, 97).select(F.xxhash64("id").alias("k")).union(spark.range(9).select(F.xxhash64(F.col("id") - 9).alias("k")))
+    inside = {r.k for r in spark.range(0, 60_000, 97).select(F.xxhash64("id").alias("k")).collect()}
+    every = np.array([r.k for r in universe.collect()], dtype=np.int64)
+    for most, least in ((urls.MOST_BYTES, 1), (700, 2)):
+        made = list(urls.cascades(universe, listed, most))
+        assert len(made) >= least and max(c.n_bytes for _, _, c in made) <= 1.3 * max(most, 3000)
+        found = set()
+        for part, parts, cascade in made:
+            own = {r.k for r in universe.where(urls.part_of(F.col("k"), parts) == part).collect()}
+            some = np.array([k for k in every.tolist() if k in own], dtype=np.int64)
+            found |= set(some[cascade.contains(some.view(np.uint64))].tolist())
+        assert found == inside
+    assert sum(c.n_bytes for *_, c in made) < 6 * len(inside)
