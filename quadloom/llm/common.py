@@ -54,12 +54,18 @@ def delete(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quadloom-{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    _written.append((weakref.ref(spark), path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted with the tables of ``written``."""
+    path = f"{shared_folder(spark)}/quadloom-{name}-{uuid.uuid4().hex}"
+    _written.append((weakref.ref(spark), path))
+    return path
+
+
 def clear_written() -> None:
     """Delete all tables of ``written``; results that still read them become unusable."""
     while _written:

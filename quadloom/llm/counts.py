@@ -57,6 +57,7 @@ class ByteVocabulary:
         plain = {letter: b for b, letter in letters.items()}
         vocabulary = spec["model"]["vocab"]
         specials = set(self.special)
+        self.largest = max(vocabulary.values(), default=0)
         ranks = {bytes(plain[c] for c in token): i for token, i in vocabulary.items() if token not in specials}
         # the merges' order is the order of ids here; the core below needs that
         merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in spec["model"]["merges"]]
@@ -92,7 +93,9 @@ class ByteVocabulary:
         return (b - a).tolist()
 
     def short_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece as little-endian 16-bit integers."""
+        """The ids of each piece as little-endian 16-bit integers; the vocabulary must fit them."""
+        if self.largest >= 1 << 16:
+            raise ValueError(f"ids up to {self.largest} do not fit 16 bits")
         flat, (a, b) = self.encode_pieces(pieces)
         raw = flat.astype("<u2").tobytes()
         return [raw[2 * x : 2 * y] for x, y in zip(a.tolist(), b.tolist())]
@@ -105,8 +108,8 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in shown}, **{b: chr(0x100 + k) for k, b in enumerate(hidden)}}
 
 
-def chunk_counts(vocabulary: ByteVocabulary, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The number of tokens of each text of a chunk."""
+def chunk_counts(vocabulary: ByteVocabulary, buf: np.ndarray, offsets: np.ndarray, plain: bool = False) -> np.ndarray:
+    """The number of tokens of each text of a chunk; ``plain``: special strings are text like any other."""
     text, points, bounds = pretokens.code_points(buf, offsets)
     starts, ends = pretokens.spans_gpt(points, bounds)
     values, which = vocabulary.table.lookup(pretokens.span_hashes(points, starts, ends), text, starts, ends, vocabulary.count_pieces)
@@ -115,7 +118,7 @@ def chunk_counts(vocabulary: ByteVocabulary, buf: np.ndarray, offsets: np.ndarra
         np.cumsum(np.array(values, dtype=np.int64)[which], out=sums[1:])
     at = np.searchsorted(starts, bounds)
     counts = sums[at[1:]] - sums[at[:-1]]
-    for special in vocabulary.special:
+    for special in () if plain else vocabulary.special:
         if special in text:
             for k in range(len(counts)):
                 own = text[bounds[k] : bounds[k + 1]]

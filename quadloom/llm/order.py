@@ -13,7 +13,14 @@ A record is 16 bytes of header (doc_id, sequence number in its text, ids used;
 little-endian) and the ids.  Shards are binary files of records, each closed by
 one byte, ``\\n``: Spark's text writer puts it there, and commits files so that a
 lost executor leaves no half of one.  The stride counts it.  Texts without tokens (null, empty) make no
-sequence; null ids are written as the least long; repeated rows are sequences of their own.
+sequence; null ids are written as the least long; repeated rows are sequences of their own.  Special strings
+inside texts are text like any other.  Ids of documents are integers that fit a long; a vocabulary with ids
+over 65,535 is refused, since a record has 16 bits for each.
+
+Sequences are numbered by the task that reads them and their place in it, for which the number in each task
+is counted first.  Both passes must see the same rows in the same order: the documents are written to the
+shared folder first, unless the caller says that they are ``stable`` (read from files that do not change).  A
+task whose second pass finds another number than its first fails.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ from pyspark.sql import functions as F
 from quadloom.llm import bytesvec as bv
 from quadloom.llm import pretokens
 from quadloom.llm.common import batch, pick, small_batches, written
-from quadloom.llm.counts import PIECES, ByteVocabulary
+from quadloom.llm.counts import PIECES, ByteVocabulary, chunk_counts
 
 LENGTH = 512
 SHARD = 8192
@@ -83,43 +90,52 @@ def chunk_sequences(vocabulary: ByteVocabulary, table: pretokens.PieceTable, ids
             yield doc_id, part, used, header + own + b"\0" * (wide - len(own))
 
 
-def sequences(docs: DataFrame, vocabulary_path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(src, pos, doc_id, part, n_tokens, record): task and place in it number the sequences once the table is written."""
-    small_batches(docs.sparkSession)
-    out = pa.schema([("src", pa.int32()), ("pos", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("n_tokens", pa.int32()), ("record", pa.binary())])
+def counted(texts: DataFrame, vocabulary_path: str, length: int) -> DataFrame:
+    """(src, n): the number of sequences that each task makes of its rows (doc_id, text)."""
+    out = pa.schema([("src", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = ByteVocabulary.load(vocabulary_path)
-        table = vocabulary.__dict__.setdefault("short_table", pretokens.PieceTable(PIECES // 2))
-        src, pos = TaskContext.get().partitionId(), 0
+        n = 0
         for b in batches:
-            for rows, buf, offsets in bv.chunks(b, "text"):
-                made = list(chunk_sequences(vocabulary, table, rows.column(0).to_pylist(), buf, offsets, length))
-                if made:
-                    yield batch(out, np.full(len(made), src, np.int32), np.arange(pos, pos + len(made)), *zip(*made))
-                    pos += len(made)
+            for _, buf, offsets in bv.chunks(b, "text"):
+                n += int((-(-chunk_counts(vocabulary, buf, offsets, plain=True) // length)).sum())
+        yield batch(out, [TaskContext.get().partitionId()], [n])
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "src int, pos long, doc_id long, part int, n_tokens int, record binary")
+    return texts.mapInArrow(run, "src int, n long")
 
 
-def training_order(docs: DataFrame, vocabulary_path: str, key: str, length: int = LENGTH, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", most_partitions: int = MOST_PARTITIONS) -> DataFrame:
+def training_order(docs: DataFrame, vocabulary_path: str, key: str, length: int = LENGTH, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", most_partitions: int = MOST_PARTITIONS, stable: bool = False) -> DataFrame:
     """One row for each sequence: slot, shard, byte_offset, doc_id, part, n_tokens, record; a partition is a shard, or a run of shards if there are over ``most_partitions``, in slot order."""
-    made = written(sequences(docs, vocabulary_path, length, id_col, text_col), "sequences")
-    # one row for each task that read the input, not for each sequence
-    sizes = made.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy("src").collect()
-    base = np.zeros(max([r["src"] for r in sizes], default=0) + 1, dtype=np.int64)
-    n = 0
-    for r in sizes:
-        base[r["src"]] = n
-        n += r["n"]
+    small_batches(docs.sparkSession)
+    texts = pick(docs, doc_id=id_col, text=text_col)
+    texts = texts if stable else written(texts, "texts")
+    # one row for each task that reads the input, not for each sequence
+    sizes = {r["src"]: r["n"] for r in counted(texts, vocabulary_path, length).collect()}
+    number = np.zeros(max(sizes, default=0) + 1, dtype=np.int64)
+    for src, size in sizes.items():
+        number[src] = size
+    base = np.cumsum(number) - number
+    n = int(number.sum())
     out = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("n_tokens", pa.int32()), ("record", pa.binary())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = ByteVocabulary.load(vocabulary_path)
+        table = vocabulary.__dict__.setdefault("short_table", pretokens.PieceTable(PIECES // 2))
+        src, pos = TaskContext.get().partitionId(), 0
+        most = int(number[src]) if src < len(number) else 0
         for b in batches:
-            src, pos = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            yield batch(out, permuted(base[src] + pos, n, key), *(b.column(k) for k in range(2, 6)))
-
-    placed = made.mapInArrow(place, "slot long, doc_id long, part int, n_tokens int, record binary")
+            for rows, buf, offsets in bv.chunks(b, "text"):
+                made = list(chunk_sequences(vocabulary, table, rows.column(0).to_pylist(), buf, offsets, length))
+                if made:
+                    if pos + len(made) > most:
+                        break
+                    yield batch(out, permuted(base[src] + np.arange(pos, pos + len(made)), n, key), *zip(*made))
+                pos += len(made)
+        if pos != most:
+            raise RuntimeError(f"the input changed between its two passes: {pos} sequences, {most} before; write it to a table first")
+
+    placed = texts.mapInArrow(place, "slot long, doc_id long, part int, n_tokens int, record binary")
     shards = max(1, -(-n // shard))
     run = -(-shards // most_partitions)
     rows = placed.withColumn("shard", F.floor(F.col("slot") / shard).cast("int"))
@@ -132,15 +148,35 @@ def write_shards(ordered: DataFrame, path: str) -> None:
     ordered.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(path)
 
 
-def read_from(spark: SparkSession, path: str, slot: int, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """(slot, record) from ``slot`` on, in order; earlier shards are not opened."""
+def records(spark: SparkSession, path: str, slot: int = 0, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+    """(slot, record) from ``slot`` on, in no order between shards; earlier shards are not opened."""
     files = spark.read.format("binaryFile").load(path)
     if "shard" not in files.columns:  # no text had a token
         return spark.createDataFrame([], "slot long, record binary")
     wide = stride(length)
     files = files.where(F.col("shard") >= slot // shard)
     record = F.posexplode(F.transform(F.sequence(F.lit(0), (F.col("length") / wide).cast("int") - 1), lambda k: F.substring("content", k * wide + 1, F.lit(wide - 1))))
-    return files.select("shard", record.alias("k", "record")).select((F.col("shard").cast("long") * shard + F.col("k")).alias("slot"), "record").where(F.col("slot") >= slot).orderBy("slot")
+    return files.select("shard", record.alias("k", "record")).select((F.col("shard").cast("long") * shard + F.col("k")).alias("slot"), "record").where(F.col("slot") >= slot)
+
+
+def read_from(spark: SparkSession, path: str, slot: int, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+    """The same in the order of slots."""
+    return records(spark, path, slot, length, shard).orderBy("slot")
+
+
+def read_back(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+    """The rows of ``training_order``, as the shards say them."""
+    small_batches(spark)
+    out = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("n_tokens", pa.int32()), ("record", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            head = np.frombuffer(b"".join(r.as_buffer()[:HEADER] for r in b.column(1)), "<i8").reshape(-1, 2)
+            doc_id = pa.array(head[:, 0], mask=head[:, 0] == _NULL_ID)
+            yield batch(out, b.column(0), doc_id, (head[:, 1] & 0xFFFFFFFF).astype(np.int32), (head[:, 1] >> 32).astype(np.int32), b.column(1))
+
+    rows = records(spark, path, 0, length, shard).mapInArrow(run, "slot long, doc_id long, part int, n_tokens int, record binary")
+    return rows.select("slot", F.floor(F.col("slot") / shard).cast("int").alias("shard"), (F.col("slot") % shard * stride(length)).alias("byte_offset"), "doc_id", "part", "n_tokens", "record")
 
 
 def ids_of(record: bytes) -> np.ndarray:

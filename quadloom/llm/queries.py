@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.llm import bpe, chat, counts, decontaminate, order, quality, secrets, simhash, suffix, urls
-from quadloom.llm.common import table
+from quadloom.llm.common import fresh_path, table
 
 #: The text of both turns of the extra conversation -1.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -36,8 +36,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = order.training_order(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), ORDER_KEY)
-    return made
+    """The shards are written to the shared folder; the rows are what they hold."""
+    path = fresh_path(spark, "shards")
+    order.write_shards(order.training_order(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), ORDER_KEY, stable=True), path)
+    return order.read_back(spark, path)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

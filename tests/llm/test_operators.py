@@ -251,6 +251,8 @@ def test_training_order(spark, docs, rows, tmp_path):
     for shard in range(-(-len(got) // 100)):
         (file,) = (tmp_path / "shards" / f"shard={shard}").glob("part-*")
         assert file.read_bytes() == b"".join(r.record + b"\n" for r in got if r.shard == shard)
+    back = order.read_back(spark, str(tmp_path / "shards"), 64, 100)
+    assert back.columns == made.columns and sorted(map(tuple, back.collect())) == [tuple(r) for r in got]
     runs = order.training_order(docs, path, "key", length=64, shard=100, most_partitions=2)
     assert runs.rdd.getNumPartitions() == 2 and len(got) > 200
     order.write_shards(runs, str(tmp_path / "runs"))
@@ -262,6 +264,21 @@ def test_training_order(spark, docs, rows, tmp_path):
     order.write_shards(order.training_order(empty(spark), path, "key"), str(tmp_path / "none"))
     assert order.read_from(spark, str(tmp_path / "none"), 0).count() == 0
     assert order.training_order(empty(spark), path, "key").count() == 0
+    assert order.read_back(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_training_order_refuses_what_it_cannot_hold(spark, docs):
+    path = queries.vocabulary("byte_bpe_50k.json")
+    vocabulary = counts.ByteVocabulary.load(path)
+    assert vocabulary.largest < 1 << 16
+    large = object.__new__(counts.ByteVocabulary)
+    large.largest = 1 << 16
+    with pytest.raises(ValueError, match="16 bits"):
+        large.short_pieces(["a"])
+    moving = docs.select("doc_id", F.concat("text", F.repeat(F.lit(" more"), (F.unix_micros(F.current_timestamp()) % 3000).cast("int"))).alias("text"))
+    with pytest.raises(Exception, match="changed between its two passes"):
+        order.training_order(moving, path, "key", length=64, shard=100, stable=True).count()
+    assert order.training_order(moving, path, "key", length=64, shard=100).count() > 0
 
 
 # --- 4 -----------------------------------------------------------------------
