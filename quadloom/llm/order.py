@@ -148,35 +148,41 @@ def write_shards(ordered: DataFrame, path: str) -> None:
     ordered.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(path)
 
 
-def records(spark: SparkSession, path: str, slot: int = 0, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """(slot, record) from ``slot`` on, in no order between shards; earlier shards are not opened."""
-    files = spark.read.format("binaryFile").load(path)
-    if "shard" not in files.columns:  # no text had a token
-        return spark.createDataFrame([], "slot long, record binary")
-    wide = stride(length)
-    files = files.where(F.col("shard") >= slot // shard)
-    record = F.posexplode(F.transform(F.sequence(F.lit(0), (F.col("length") / wide).cast("int") - 1), lambda k: F.substring("content", k * wide + 1, F.lit(wide - 1))))
-    return files.select("shard", record.alias("k", "record")).select((F.col("shard").cast("long") * shard + F.col("k")).alias("slot"), "record").where(F.col("slot") >= slot)
+def _opened(length: int, shard: int):
+    """Shard files (shard, content) as rows of ``training_order``, some records at a time."""
+    out = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("n_tokens", pa.int32()), ("record", pa.binary())])
+    size = stride(length) - 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, content in zip(b.column(0).to_pylist(), b.column(1)):
+                whole = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, size + 1)
+                for at in range(0, len(whole), 1024):
+                    some = np.ascontiguousarray(whole[at : at + 1024, :size])
+                    head = np.ascontiguousarray(some[:, :HEADER]).view("<i8")
+                    ends = pa.array(np.arange(len(some) + 1, dtype=np.int32) * np.int32(size))
+                    record = pa.Array.from_buffers(pa.binary(), len(some), [None, ends.buffers()[1], pa.py_buffer(some)])
+                    doc_id = pa.array(head[:, 0], mask=head[:, 0] == _NULL_ID)
+                    yield batch(out, number * shard + np.arange(at, at + len(some)), doc_id, (head[:, 1] & 0xFFFFFFFF).astype(np.int32), (head[:, 1] >> 32).astype(np.int32), record)
 
-def read_from(spark: SparkSession, path: str, slot: int, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """The same in the order of slots."""
-    return records(spark, path, slot, length, shard).orderBy("slot")
+    return run
 
 
-def read_back(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """The rows of ``training_order``, as the shards say them."""
+def read_back(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD, slot: int = 0) -> DataFrame:
+    """The rows of ``training_order`` from ``slot`` on, as the shards say them, in no order between shards; earlier shards are not opened."""
     small_batches(spark)
-    out = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("n_tokens", pa.int32()), ("record", pa.binary())])
+    files = spark.read.format("binaryFile").load(path)
+    schema = "slot long, doc_id long, part int, n_tokens int, record binary"
+    if "shard" not in files.columns:  # no text had a token
+        rows = spark.createDataFrame([], schema)
+    else:
+        rows = files.where(F.col("shard") >= slot // shard).select("shard", "content").mapInArrow(_opened(length, shard), schema).where(F.col("slot") >= slot)
+    return rows.select("slot", F.floor(F.col("slot") / shard).cast("int").alias("shard"), (F.col("slot") % shard * stride(length)).alias("byte_offset"), "doc_id", "part", "n_tokens", "record")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            head = np.frombuffer(b"".join(r.as_buffer()[:HEADER] for r in b.column(1)), "<i8").reshape(-1, 2)
-            doc_id = pa.array(head[:, 0], mask=head[:, 0] == _NULL_ID)
-            yield batch(out, b.column(0), doc_id, (head[:, 1] & 0xFFFFFFFF).astype(np.int32), (head[:, 1] >> 32).astype(np.int32), b.column(1))
 
-    rows = records(spark, path, 0, length, shard).mapInArrow(run, "slot long, doc_id long, part int, n_tokens int, record binary")
-    return rows.select("slot", F.floor(F.col("slot") / shard).cast("int").alias("shard"), (F.col("slot") % shard * stride(length)).alias("byte_offset"), "doc_id", "part", "n_tokens", "record")
+def read_from(spark: SparkSession, path: str, slot: int, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+    """(slot, record) from ``slot`` on, in order."""
+    return read_back(spark, path, length, shard, slot).select("slot", "record").orderBy("slot")
 
 
 def ids_of(record: bytes) -> np.ndarray:
