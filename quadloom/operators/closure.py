@@ -9,34 +9,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.session import written
+from quadloom.session import Growing, free, written
 
 
 def transitive_closure(edges: DataFrame, s: str = "s", o: str = "o") -> DataFrame:
-    """(s, o) for every path of one or more edges, by doubling: as many rounds as the logarithm of the longest path."""
-    reach = written(edges.select(F.col(s).alias("s"), F.col(o).alias("o")).where("s is not null and o is not null").distinct(), "closure")
-    n = reach.count()
-    while n:
-        longer = reach.select("s", F.col("o").alias("m")).join(reach.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
-        more = written(reach.union(longer).distinct(), "closure")
-        grown = more.count()
-        reach = more
-        if grown == n:
-            break
-        n = grown
-    return reach
+    """(s, o) for every path of one or more edges, in as many rounds as the logarithm of the longest shortest path.
+
+    Before round k the table has the ends of all walks of under 2**k edges.  The
+    round makes walks of exactly 2**k edges from those of half the length, joins
+    them with the table, and adds what is new; in a tree each pair is made once.
+    When a round adds nothing, every walk has a shorter one with its ends.
+    """
+    spark = edges.sparkSession
+    known = Growing(spark, "closure")
+    walks = written(edges.select(F.col(s).alias("s"), F.col(o).alias("o")).where("s is not null and o is not null").distinct(), "walks")
+    fresh = known.add(walks)
+    while not fresh.isEmpty():
+        half = walks
+        walks = written(half.select("s", F.col("o").alias("m")).join(half.select(F.col("s").alias("m"), "o"), "m").select("s", "o").distinct(), "walks")
+        free(half)
+        # walks of twice the length, alone and before each pair of the table
+        longer = walks.union(walks.select("s", F.col("o").alias("m")).join(known.all.select(F.col("s").alias("m"), "o"), "m").select("s", "o"))
+        fresh = known.add(longer.distinct().join(known.all, ["s", "o"], "left_anti"))
+    return known.all
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(n) of ``seeds`` (n) and all that edges (s, o) reach from them; each round joins only what is new."""
     edges = written(edges.select("s", "o").distinct(), "edges")
-    found = written(seeds.select("n").distinct(), "reach")
-    fresh = found
+    found = Growing(edges.sparkSession, "reach")
+    fresh = found.add(seeds.select("n").distinct())
     while not fresh.isEmpty():
         step = edges.join(fresh.select(F.col("n").alias("s")), "s").select(F.col("o").alias("n")).distinct()
-        fresh = written(step.join(found, "n", "left_anti"), "reach")
-        found = written(found.union(fresh), "reach")
-    return found
+        fresh = found.add(step.join(found.all, "n", "left_anti"))
+    return found.all
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom import vocab as v
-from quadloom.reasoner.rules import Identity, Schema, canonical, expanded, local
+from quadloom.reasoner.rules import Identity, Relation, Schema, canonical, expanded
 
 VIOLATION = "ordinal int, constraint string, focus string, left string, right string, left_origin string, right_origin string, left_rank int, right_rank int"
 
@@ -20,63 +20,87 @@ def _rows(df: DataFrame, ordinal: int, constraint: str, **columns) -> DataFrame:
 
 def nothing(types: DataFrame, schema: Schema) -> DataFrame:
     """Instances of owl:Nothing or of a class below it; the supporting class is the most direct one."""
-    unsatisfiable = {c for c, d in schema.class_closure if d == v.NOTHING} | {v.NOTHING}
-    hit = types.where(F.col("c").isin(sorted(unsatisfiable)))
+    below = schema.class_closure.frame("c d").where(F.col("d") == v.NOTHING).select("c")
+    unsatisfiable = below.union(below.sparkSession.createDataFrame([(v.NOTHING,)], "c string")).distinct()
+    hit = types.join(F.broadcast(unsatisfiable) if schema.class_closure.few else unsatisfiable, "c", "left_semi")
     support = hit.where(F.col("c") != v.NOTHING).groupBy("i").agg(F.min(F.struct("rank", "c", "origin")).alias("x"))
     own = hit.where(F.col("c") == v.NOTHING).select("i", F.col("rank").alias("nr"), F.col("origin").alias("no"))
     both = hit.select("i").distinct().join(support, "i", "left").join(own, "i", "left")
     return _rows(both, 1, "owl:Nothing", focus="i", left=F.coalesce("x.c", F.lit(v.NOTHING)), right=F.lit(v.NOTHING), left_origin=F.coalesce("x.origin", "no"), right_origin="no", left_rank=F.coalesce("x.rank", "nr"), right_rank="nr")
 
 
+def _conflicts(rows: DataFrame, on: list[str], term: str, pairs: Relation, groups: Relation) -> DataFrame | None:
+    """(on, x, y): rows that are equal in ``on`` whose terms x <= y are a pair, or two places of one group.
+
+    Members of a group meet where an instance has them; the pairs of a group are never listed.
+    """
+    out = None
+    if pairs:
+        rule = pairs.frame("x y").where("x <= y")
+        left = rows.join(rule, rows[term] == F.col("x")).select(*on, "x", "y")
+        out = left.join(rows.select(*on, F.col(term).alias("y")), [*on, "y"]).select(*on, "x", "y")
+    if groups:
+        placed = rows.join(groups.frame("g k m"), rows[term] == F.col("m")).select(*on, "g", "k", F.col("m").alias("m"))
+        other = placed.select(*on, "g", F.col("k").alias("l"), F.col("m").alias("n"))
+        met = placed.join(other, [*on, "g"]).where("k < l").select(*on, F.least("m", "n").alias("x"), F.greatest("m", "n").alias("y"))
+        out = met if out is None else out.union(met)
+    return None if out is None else out.distinct()
+
+
 def disjoint(types: DataFrame, schema: Schema) -> DataFrame:
     """Instances with two types that are disjoint; each unordered pair of classes once for an instance."""
-    pairs = {(min(p), max(p)) for p in schema.disjoint}
-    if not pairs:
+    met = _conflicts(types.select("i", "c"), ["i"], "c", schema.disjoint, schema.class_groups)
+    if met is None:
         return types.sparkSession.createDataFrame([], VIOLATION)
-    rule = local(types.sparkSession, pairs, "c string, d string")
-    left = types.join(rule, "c").select("i", "c", "d", F.col("origin").alias("lo"), F.col("rank").alias("lr"))
-    right = types.select("i", F.col("c").alias("d"), F.col("origin").alias("ro"), F.col("rank").alias("rr"))
-    return _rows(left.join(right, ["i", "d"]), 2, "owl:disjointWith", focus="i", left="c", right="d", left_origin="lo", right_origin="ro", left_rank="lr", right_rank="rr")
+    left = types.select("i", F.col("c").alias("x"), F.col("origin").alias("lo"), F.col("rank").alias("lr"))
+    right = types.select("i", F.col("c").alias("y"), F.col("origin").alias("ro"), F.col("rank").alias("rr"))
+    return _rows(met.join(left, ["i", "x"]).join(right, ["i", "y"]), 2, "owl:disjointWith", focus="i", left="x", right="y", left_origin="lo", right_origin="ro", left_rank="lr", right_rank="rr")
 
 
 def different(triples: DataFrame, found: Identity, schema: Schema) -> DataFrame:
-    """Resources declared different that are equal."""
-    spark = triples.sparkSession
-    said = triples.where(F.col("p") == v.DIFFERENT_FROM).select("s", "o").union(spark.createDataFrame(sorted(schema.different), "s string, o string")).distinct()
-    both = canonical(said.select("s", "o", F.col("s").alias("a"), F.col("o").alias("b")), found.clusters, "a", "b").where("a = b")
-    return _rows(both, 3, "owl:differentFrom", focus="s", left="s", right="o", left_origin=F.lit("asserted owl:differentFrom axiom"), right_origin=F.concat(F.lit("effective equality cluster canonicalized as "), F.col("a")))
+    """Resources declared different, by an axiom or as members of a group, that are equal."""
+    said = triples.where(F.col("p") == v.DIFFERENT_FROM).select("s", "o").distinct()
+    both = canonical(said.select("s", "o", F.col("s").alias("a"), F.col("o").alias("b")), found.clusters, "a", "b").where("a = b").select("s", "o", "a")
+    if schema.different_groups:
+        members = canonical(schema.different_groups.frame("g k m").select("g", "k", "m", F.col("m").alias("a")), found.clusters, "a")
+        other = members.select("g", "a", F.col("k").alias("l"), F.col("m").alias("o"))
+        both = both.union(members.join(other, ["g", "a"]).where("k < l").select(F.col("m").alias("s"), "o", "a")).distinct()
+    return _rows(both, 3, "owl:differentFrom", focus="s", left="s", right="o", left_origin=F.lit(SAID_DIFFERENT), right_origin=F.concat(F.lit("member of the cluster of "), F.col("a")))
 
 
-def _constrained(found: Identity, properties) -> DataFrame:
+def _constrained(found: Identity, properties: Relation, *columns: str) -> DataFrame:
     """Closed assertions of the constrained properties only, on all members of clusters."""
-    return expanded(found.facts.where(F.col("p").isin(sorted(properties))), found.clusters, "s", "o").distinct()
+    return expanded(properties.limits(found.facts, "p", *columns), found.clusters, "s", "o").distinct()
+
+
+def _statement(s: str, p: str, o: str):
+    return F.format_string("holds: <%s> <%s> <%s>", s, p, o)
 
 
 def irreflexive(found: Identity, schema: Schema) -> DataFrame:
-    hit = _constrained(found, schema.marks[v.IRREFLEXIVE]).where("s = o")
-    said = F.format_string("<%s> <%s> <%s>", "s", "p", "o")
-    return _rows(hit, 4, "owl:IrreflexiveProperty", focus="s", left="p", right="s", left_origin=F.lit("property declaration"), right_origin=F.concat(F.lit("effective assertion "), said))
+    hit = _constrained(found, schema.marks[v.IRREFLEXIVE], "p").where("s = o")
+    return _rows(hit, 4, "owl:IrreflexiveProperty", focus="s", left="p", right="s", left_origin=F.lit(DECLARED), right_origin=_statement("s", "p", "o"))
 
 
 def asymmetric(found: Identity, schema: Schema) -> DataFrame:
     """Pairs in both directions; a resource with itself does not count."""
-    facts = _constrained(found, schema.marks[v.ASYMMETRIC])
+    facts = _constrained(found, schema.marks[v.ASYMMETRIC], "p")
     back = facts.select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
     hit = facts.where("s < o").join(back, ["s", "p", "o"])
-    said = lambda a, b: F.concat(F.lit("effective assertion "), F.format_string("<%s> <%s> <%s>", a, "p", b))
-    return _rows(hit, 5, "owl:AsymmetricProperty", focus="s", left="p", right="o", left_origin=said("s", "o"), right_origin=said("o", "s"))
+    return _rows(hit, 5, "owl:AsymmetricProperty", focus="s", left="p", right="o", left_origin=_statement("s", "p", "o"), right_origin=_statement("o", "p", "s"))
 
 
 def property_disjoint(found: Identity, schema: Schema) -> DataFrame:
     """One pair of resources under two disjoint properties; a property disjoint with itself conflicts with each assertion."""
-    pairs = {(min(p), max(p)) for p in schema.property_disjoint}
-    if not pairs:
+    facts = None
+    for properties, columns in ((schema.property_disjoint, ("a", "b")), (schema.property_groups, ("m",))):
+        if properties:
+            own = _constrained(found, properties, *columns)
+            facts = own if facts is None else facts.union(own).distinct()
+    met = None if facts is None else _conflicts(facts, ["s", "o"], "p", schema.property_disjoint, schema.property_groups)
+    if met is None:
         return found.facts.sparkSession.createDataFrame([], VIOLATION)
-    facts = _constrained(found, {x for p in pairs for x in p})
-    rule = local(facts.sparkSession, pairs, "p string, q string")
-    hit = facts.join(rule, "p").join(facts.select("s", F.col("p").alias("q"), "o"), ["s", "q", "o"])
-    said = lambda c: F.concat(F.lit("effective assertion "), F.format_string("<%s> <%s> <%s>", "s", c, "o"))
-    return _rows(hit, 6, "owl:propertyDisjointWith", focus="s", left="p", right="q", left_origin=said("p"), right_origin=said("q"))
+    return _rows(met, 6, "owl:propertyDisjointWith", focus="s", left="x", right="y", left_origin=_statement("s", "x", "o"), right_origin=_statement("s", "y", "o"))
 
 
 def violations(triples: DataFrame, types: DataFrame, found: Identity, schema: Schema) -> DataFrame:
@@ -88,39 +112,51 @@ def violations(triples: DataFrame, types: DataFrame, found: Identity, schema: Sc
     return out
 
 
+#: Where a contribution to a conflict comes from.
+DECLARED, SAID_DIFFERENT, SAID_DISJOINT, HOLDS, CLUSTER = "declared of the property", "said by an owl:differentFrom axiom or group", "said by a disjointness axiom or group", "a statement that holds", "the closure of equality"
+
+
 def explanation(row: dict) -> dict:
     """Summary, blame and evidence of one violation."""
     kind, focus, left, right, lo, ro = (row[k] for k in ("constraint", "focus", "left", "right", "left_origin", "right_origin"))
-    proof = lambda role, s, p, o, origin: {"role": role, "subject": s, "predicate": p, "object": o, "origin": origin}
     said = lambda s, p, o: f"<{s}> <{p}> <{o}>"
-    if kind == "owl:Nothing":
-        summary = f"Consistency violation: {focus} has effective type {left} ({lo})" + ("" if left == v.NOTHING else f", and {left} is unsatisfiable")
-        blame = ("prefer-more-direct-effective-type-origin", left, lo, v.NOTHING, ro or lo)
-        evidence = [proof("conflicting-type", focus, v.TYPE, left, lo)] + ([] if left == v.NOTHING else [proof("conflicting-type", focus, v.TYPE, v.NOTHING, ro or lo)])
-    elif kind == "owl:disjointWith":
-        summary = f"Consistency violation: {focus} has disjoint effective types {left} ({lo}) and {right} ({ro})"
-        order = sorted([(row["left_rank"], left, lo), (row["right_rank"], right, ro)])
-        blame = ("prefer-more-direct-effective-type-origin", order[0][1], order[0][2], order[1][1], order[1][2])
-        evidence = [proof("constraint-axiom", left, v.DISJOINT_WITH, right, "asserted disjointness axiom"), proof("conflicting-type", focus, v.TYPE, left, lo), proof("conflicting-type", focus, v.TYPE, right, ro)]
-    elif kind == "owl:differentFrom":
-        summary = f"Consistency violation: resources {left} and {right} are declared owl:differentFrom but also belong to the same effective equality cluster"
-        blame = ("prefer-direct-different-from-axiom", said(left, v.DIFFERENT_FROM, right), lo, said(left, v.SAME_AS, right), "effective equality closure")
-        evidence = [proof("constraint-axiom", left, v.DIFFERENT_FROM, right, lo), proof("conflicting-equality", left, v.SAME_AS, right, "effective equality closure")]
-    elif kind == "owl:IrreflexiveProperty":
-        summary = f"Consistency violation: property {left} is declared owl:IrreflexiveProperty but assertion {said(focus, left, focus)} is present"
-        blame = ("prefer-direct-self-loop-assertion", said(focus, left, focus), "effective property assertion", left, "property declaration")
-        evidence = [proof("constraint-declaration", left, v.TYPE, v.IRREFLEXIVE, "property declaration"), proof("conflicting-assertion", focus, left, focus, "effective property assertion")]
-    elif kind == "owl:AsymmetricProperty":
-        summary = f"Consistency violation: property {left} is declared owl:AsymmetricProperty but both {said(focus, left, right)} and {said(right, left, focus)} are present"
-        blame = ("pairwise-asymmetry-assertion-collision", said(focus, left, right), "effective property assertion", said(right, left, focus), "effective reverse assertion")
-        evidence = [proof("constraint-declaration", left, v.TYPE, v.ASYMMETRIC, "property declaration"), proof("conflicting-assertion", focus, left, right, "effective property assertion"), proof("conflicting-assertion", right, left, focus, "effective reverse assertion")]
-    else:
-        target = lo.rsplit(" <", 1)[1][:-1]
-        summary = f"Consistency violation: properties {left} and {right} are declared owl:propertyDisjointWith but both relate {focus} to {target}"
-        blame = ("pairwise-property-disjointness-assertion-collision", said(focus, left, target), "effective property assertion", said(focus, right, target), "effective assertion")
-        evidence = [proof("constraint-axiom", left, v.PROPERTY_DISJOINT, right, "asserted property disjointness axiom"), proof("conflicting-assertion", focus, left, target, "effective property assertion"), proof("conflicting-assertion", focus, right, target, "effective property assertion")]
-    names = ("heuristic", "principal_contributor", "principal_origin", "contextual_contributor", "contextual_origin")
-    return {"summary": summary, "violated_constraint": kind, "focus_resource": focus, "primary_conflicting_term": left, "secondary_conflicting_term": right, "blame": dict(zip(names, blame)), "evidence": evidence}
+    # per constraint: summary, (heuristic, principal, its origin, context, its origin), evidence as (role, s, p, o, origin)
+    match kind:
+        case "owl:Nothing":
+            summary = f"{focus} is of type {left} ({lo})" + (", which can have no instance" if left == v.NOTHING else f", and {left} can have no instance")
+            blame = ("prefer-more-direct-effective-type-origin", left, lo, v.NOTHING, ro or lo)
+            evidence = [("conflicting-type", focus, v.TYPE, c, origin) for c, origin in dict([(left, lo), (v.NOTHING, ro or lo)][: 1 if left == v.NOTHING else 2]).items()]
+        case "owl:disjointWith":
+            summary = f"{focus} is of the types {left} ({lo}) and {right} ({ro}), which exclude each other"
+            (_, *first), (_, *second) = sorted([(row["left_rank"], left, lo), (row["right_rank"], right, ro)])
+            blame = ("prefer-more-direct-effective-type-origin", *first, *second)
+            evidence = [("constraint-axiom", left, v.DISJOINT_WITH, right, SAID_DISJOINT), *(("conflicting-type", focus, v.TYPE, c, origin) for c, origin in ((left, lo), (right, ro)))]
+        case "owl:differentFrom":
+            summary = f"{left} and {right} are said to differ, yet they are equal"
+            blame = ("prefer-direct-different-from-axiom", said(left, v.DIFFERENT_FROM, right), lo, said(left, v.SAME_AS, right), CLUSTER)
+            evidence = [("constraint-axiom", left, v.DIFFERENT_FROM, right, lo), ("conflicting-equality", left, v.SAME_AS, right, CLUSTER)]
+        case "owl:IrreflexiveProperty":
+            summary = f"{focus} stands to itself in {left}, which is irreflexive"
+            blame = ("prefer-direct-self-loop-assertion", said(focus, left, focus), HOLDS, left, DECLARED)
+            evidence = [("constraint-declaration", left, v.TYPE, v.IRREFLEXIVE, DECLARED), ("conflicting-assertion", focus, left, focus, HOLDS)]
+        case "owl:AsymmetricProperty":
+            summary = f"{focus} and {right} stand to each other in {left} both ways, which is asymmetric"
+            blame = ("pairwise-asymmetry-assertion-collision", said(focus, left, right), HOLDS, said(right, left, focus), HOLDS)
+            evidence = [("constraint-declaration", left, v.TYPE, v.ASYMMETRIC, DECLARED), ("conflicting-assertion", focus, left, right, HOLDS), ("conflicting-assertion", right, left, focus, HOLDS)]
+        case _:
+            target = lo.rsplit(" <", 1)[1][:-1]
+            summary = f"{focus} stands to {target} in both {left} and {right}, which exclude each other"
+            blame = ("pairwise-property-disjointness-assertion-collision", said(focus, left, target), HOLDS, said(focus, right, target), HOLDS)
+            evidence = [("constraint-axiom", left, v.PROPERTY_DISJOINT, right, SAID_DISJOINT), *(("conflicting-assertion", focus, p, target, HOLDS) for p in (left, right))]
+    return {
+        "summary": f"inconsistent: {summary}",
+        "violated_constraint": kind,
+        "focus_resource": focus,
+        "primary_conflicting_term": left,
+        "secondary_conflicting_term": right,
+        "blame": dict(zip(("heuristic", "principal_contributor", "principal_origin", "contextual_contributor", "contextual_origin"), blame)),
+        "evidence": [dict(zip(("role", "subject", "predicate", "object", "origin"), e)) for e in evidence],
+    }
 
 
 #: Scores of an inserted triple against a rejection (fixed values).

@@ -72,6 +72,40 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Growing:
+    """A table in the shared folder that only grows: what is added is written, what was there is not written again."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/quadloom-{name}-{uuid.uuid4().hex}"
+        self.parts: list[str] = []
+        self.schema = None
+        _written.append((spark, self.root))
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df``, read from where they are now."""
+        path = f"{self.root}/part-{len(self.parts)}"
+        df.write.parquet(path)
+        self.parts.append(path)
+        self.schema = self.schema or df.schema
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    @property
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.parts)
+
+
+def free(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    for k, (_, path) in enumerate(_written):
+        if files and all(path.rsplit("/", 1)[1] in f for f in files):
+            delete(spark, path)
+            del _written[k]
+            return
+
+
 def delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
