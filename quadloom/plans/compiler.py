@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadloom import vocab as v
@@ -18,7 +18,11 @@ from quadloom.plans import algebra as a
 from quadloom.plans import relation as r
 from quadloom.plans.parser import UnsupportedError, parse_query
 from quadloom.plans.relation import Info, Rel
-from quadloom.sources.dataset import Dataset, Scope
+from quadloom.session import written
+from quadloom.sources.dataset import Dataset, QuadDataset, Scope
+
+#: Graphs whose plans are put together at once where a pattern has to be matched graph by graph.
+GRAPHS_AT_ONCE = 50
 
 
 class Compiler:
@@ -35,13 +39,11 @@ class Compiler:
     def pattern(self, node, scope: Scope) -> Rel:
         match node:
             case a.Unit():
-                return self.unit()
+                return self.named(scope) if isinstance(scope.graph, a.Var) else self.unit()
             case a.Bgp(triples):
                 return self.dataset.basic(triples, scope)
             case a.PathPattern():
-                if isinstance(scope.graph, a.Var):
-                    return self.each_graph(node, scope)
-                return match_path(self.dataset, node, scope)
+                return self.path_in_graphs(node, scope) if isinstance(scope.graph, a.Var) else match_path(self.dataset, node, scope)
             case a.Join(left, right):
                 return r.join(self.pattern(left, scope), self.pattern(right, scope))
             case a.LeftJoin(left, right, condition):
@@ -61,29 +63,71 @@ class Compiler:
                     column = r.fresh(name.name)
                     return Rel(df.select(F.col("g").alias(column)), {name.name: Info(column, "term")})
                 if isinstance(name, a.Var) and not isinstance(inner, a.Bgp):
-                    return self.each_graph(inner, replace(scope, graph=name))
+                    return self.in_graphs(inner, replace(scope, graph=name)) if carries_graph(inner) else self.each_graph(inner, replace(scope, graph=name))
                 return self.pattern(inner, replace(scope, graph=graph))
             case a.Extend(inner, name, expression):
                 value, rel = self.expr(expression, self.pattern(inner, scope), scope)
                 return rel.with_val(name, value)
             case a.Values(names, rows):
-                return self.values(names, rows)
+                own = self.values(names, rows)
+                return r.join(own, self.named(scope)) if isinstance(scope.graph, a.Var) else own
             case a.Query():
                 return self.select(node, scope)
         raise ValueError(node)
 
+    def named(self, scope: Scope) -> Rel:
+        """The named graphs that the variable of the scope ranges over."""
+        df, column = self.dataset.graphs(), r.fresh("graph")
+        if scope.from_graphs or scope.from_named:
+            df = df.where(F.col("g").isin([f"<{x}>" for x in scope.from_named]))
+        return Rel(df.select(F.col("g").alias(column)), {scope.graph.name: Info(column, "term")})
+
+    def in_graphs(self, node, scope: Scope) -> Rel:
+        """A pattern in every named graph at once: the graph is a variable of its own in each part, by which parts are joined."""
+        name, hidden = scope.graph.name, "." + r.fresh("graph")
+        rel = self.pattern(node, replace(scope, graph=a.Var(hidden)))
+        graph = rel.val(hidden)
+        if name in rel.vars:  # the pattern itself speaks of the graph's name
+            own = rel.val(name)
+            rel = Rel(rel.df.where(own.term().isNull() | (own.term() == graph.term())), rel.vars)
+        return Rel(rel.df, {n: i for n, i in rel.vars.items() if n not in (name, hidden)}).with_val(name, graph, False)
+
+    def path_in_graphs(self, node: a.PathPattern, scope: Scope) -> Rel:
+        """A path in every named graph at once: each node is named with its graph, so ways stay in one."""
+        mark = lambda c: F.concat("g", F.lit("\n"), c).alias(c)
+        inside = QuadDataset(self.dataset.active(scope).select(mark("s"), "p", mark("o"), F.lit("").alias("g")))
+        rel = match_path(inside, a.PathPattern(a.Var("s"), node.path, a.Var("o")), Scope())
+        ends = rel.df.select(*(rel.val(c).term().alias(c) for c in "so")).withColumn("g", F.substring_index("s", "\n", 1))
+        df = ends.select("g", *(F.expr(f"substring({c}, length(g) + 2)").alias(c) for c in "so"))
+        out: dict[str, Info] = {}
+        picked: list[Column] = []
+        for c, end in (("s", node.s), ("o", node.o), ("g", scope.graph)):
+            if isinstance(end, a.Const):
+                df = df.where(F.col(c) == end.term)
+            elif end.name in out:
+                df = df.where(F.col(c) == F.col("s"))
+            else:
+                out[end.name] = Info(r.fresh(end.name), "term")
+                picked.append(F.col(c).alias(out[end.name].column))
+        return Rel(df.select(*picked), out)
+
     def each_graph(self, node, scope: Scope) -> Rel:
-        """A pattern that is no plain triples, matched in every named graph; there are few graphs beside triples, and their number is checked."""
+        """A pattern that has to be matched graph by graph, such as one with a LIMIT inside; beyond ``GRAPHS_AT_ONCE`` in parts that are written."""
         name = scope.graph
-        graphs = [row["g"] for row in self.dataset.graphs().limit(1001).collect()]
-        if len(graphs) > 1000:
-            raise UnsupportedError("GRAPH with a variable around other than triple patterns, over more than 1000 graphs")
-        out = None
-        for g in graphs:
-            if (scope.from_graphs or scope.from_named) and g[1:-1] not in scope.from_named:
-                continue
-            one = self.pattern(node, replace(scope, graph=g)).with_val(name.name, Val("term", F.lit(g)), False)
-            out = one if out is None else r.union(out, one)
+        graphs = [row["g"] for row in self.named(scope).df.toDF("g").distinct().toLocalIterator()]
+        out, part = None, None
+        for k, g in enumerate(graphs):
+            inner = replace(scope, graph=g, from_named=(*scope.from_named,))
+            one = self.pattern(node, inner)
+            if name.name in one.vars:
+                own = one.val(name.name).term()
+                one = Rel(one.df.where(own.isNull() | (own == g)), {n: i for n, i in one.vars.items() if n != name.name})
+            one = one.with_val(name.name, Val("term", F.lit(g)), False)
+            part = one if part is None else r.union(part, one)
+            if k + 1 == len(graphs) or (k + 1) % GRAPHS_AT_ONCE == 0:
+                if len(graphs) > GRAPHS_AT_ONCE:
+                    part = Rel(written(part.keep(part.vars).df, "graphs"), part.vars)
+                out, part = part if out is None else r.union(out, part), None
         if out is None:
             names = {**a.variables(node), name.name: None}
             cols = {n: Info(r.fresh(n), "term") for n in names}
@@ -252,17 +296,18 @@ class Compiler:
                 rel = rel.with_val(n, value)
             elif n not in rel.vars:
                 rel = rel.with_val(n, Val("term", t.null()))
-        if q.distinct:
-            rel = rel.keep(names)
-            rel = Rel(rel.df.distinct(), rel.vars)
-        if q.order:
-            keys: list[Column] = []
-            for o in q.order:
-                if q.distinct and expression_variables(o.expr) - set(names):
-                    raise UnsupportedError("ORDER BY of a variable that SELECT DISTINCT leaves out")
-                value, rel = self.expr(o.expr, rel, scope)
-                keys += [k.desc_nulls_last() if o.descending else k.asc_nulls_first() for k in t.order_keys(value)]
-            rel = Rel(rel.df.orderBy(*keys), rel.vars)
+        if q.distinct and any(expression_variables(o.expr) - set(names) for o in q.order):
+            rel = self.first_of_each(q, rel, names, scope)
+        else:
+            if q.distinct:
+                rel = rel.keep(names)
+                rel = Rel(rel.df.distinct(), rel.vars)
+            if q.order:
+                keys: list[Column] = []
+                for o in q.order:
+                    value, rel = self.expr(o.expr, rel, scope)
+                    keys += [_directed(k, o.descending) for k in t.order_keys(value)]
+                rel = Rel(rel.df.orderBy(*keys), rel.vars)
         out = rel.keep(names)
         df = out.df
         if q.offset:
@@ -271,6 +316,24 @@ class Compiler:
             df = df.limit(q.limit)
         return Rel(df, out.vars)
 
+    def first_of_each(self, q: a.Query, rel: Rel, names: list[str], scope: Scope) -> Rel:
+        """DISTINCT solutions in an order by variables that they leave out: each stands where its first one would."""
+        keys: list[tuple[Column, bool]] = []
+        for o in q.order:
+            value, rel = self.expr(o.expr, rel, scope)
+            keys += [(k, o.descending) for k in t.order_keys(value)]
+        own = rel.keep(names)
+        columns = own.df.columns
+        named = [r.fresh("key") for _ in keys]
+        df = rel.df.select(*columns, *(k.alias(n) for (k, _), n in zip(keys, named)))
+        if len({down for _, down in keys}) == 1:  # one direction: a struct's least or greatest is the first, and partial sums do
+            first = (F.max if keys[0][1] else F.min)(F.struct(*named))
+            df = df.groupBy(*columns).agg(first.alias("_first")).select(*columns, *(F.col("_first")[n].alias(n) for n in named))
+        else:
+            place = F.row_number().over(Window.partitionBy(*columns).orderBy(*(_directed(F.col(n), down) for n, (_, down) in zip(named, keys))))
+            df = df.withColumn("_place", place).where("_place = 1").drop("_place")
+        return Rel(df.orderBy(*(_directed(F.col(n), down) for n, (_, down) in zip(named, keys))), own.vars)
+
     def construct(self, q: a.Query, scope: Scope) -> DataFrame:
         """The set of triples (s, p, o) that the template makes of the solutions."""
         inner = replace(q, form="SELECT", projection=None, template=[])
@@ -317,6 +380,32 @@ class Compiler:
         return found.union(triples.join(more.select(F.col("n").alias("s")), "s").select("s", "p", "o")).distinct()
 
 
+def _directed(key: Column, descending: bool) -> Column:
+    return key.desc_nulls_last() if descending else key.asc_nulls_first()
+
+
+def carries_graph(node) -> bool:
+    """Whether a pattern inside GRAPH with a variable can be matched in all graphs at once: no sub-SELECT, no other GRAPH, no constant that is its own way of no steps."""
+    match node:
+        case a.Query() | a.Graph():
+            return False
+        case a.PathPattern(s, path, o):
+            return not (isinstance(path, a.Repeat) and path.least == 0 and (isinstance(s, a.Const) or isinstance(o, a.Const)))
+        case a.Join(x, y) | a.Union(x, y) | a.Minus(x, y):
+            return carries_graph(x) and carries_graph(y)
+        case a.LeftJoin(x, y, condition):
+            return carries_graph(x) and carries_graph(y) and carries_graph(condition)
+        case a.Filter(condition, inner):
+            return carries_graph(condition) and carries_graph(inner)
+        case a.Extend(inner, _, expression):
+            return carries_graph(inner) and carries_graph(expression)
+        case a.Exists(inner, _):
+            return carries_graph(inner)
+        case a.Call(_, args):
+            return all(carries_graph(x) for x in args)
+    return True
+
+
 def has_aggregate(node) -> bool:
     return isinstance(node, a.Aggregate) or isinstance(node, a.Call) and any(has_aggregate(x) for x in node.args)
 

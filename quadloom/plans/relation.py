@@ -81,6 +81,67 @@ def meets(a: Rel, b: Rel, names) -> Column | None:
     return out
 
 
+#: Shared variables that may be unbound, up to which both sides are split by what is bound, so that every join has equal keys.
+SPLIT = 2
+
+
+def split(rel: Rel, names: list[str]) -> list[tuple[set[str], DataFrame]]:
+    """The relation in parts by which of the named variables are bound: (unbound ones, rows)."""
+    parts = [(set(), rel.df)]
+    for n in names:
+        if rel.vars[n].maybe:
+            c = F.col(rel.vars[n].column)
+            parts = [(free | extra, df.where(c.isNull() if extra else c.isNotNull())) for free, df in parts for extra in (set(), {n})]
+    return parts
+
+
+def matched(left: DataFrame, right: DataFrame, on: Column | None, how: str) -> DataFrame:
+    if on is None:
+        return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
+    return left.join(right, on, how)
+
+
+def parted(a: Rel, b: Rel, shared: list[str], loose: list[str], how: str, extra: Column | None = None, real: list[str] | None = None) -> DataFrame:
+    """The join as a union over what is bound on either side.
+
+    ``inner`` and ``left`` give the columns of both, ``left_semi`` and ``left_anti`` those of a.
+    real: variables of which one at least must be bound on both sides, for MINUS.
+    """
+    rights = split(b, loose)
+    pieces: list[DataFrame] = []
+    for free, rows in split(a, loose):
+        tests = []
+        for other, found in rights:
+            keys = [n for n in shared if n not in free | other]
+            if real is not None and not set(keys) & set(real):
+                continue
+            on = extra
+            for n in keys:
+                one = F.col(a.vars[n].column) == F.col(b.vars[n].column)
+                on = one if on is None else on & one
+            tests.append((found, on))
+        if how in ("inner", "left"):
+            pieces += [matched(rows, found, on, "inner").select(*a.df.columns, *b.df.columns) for found, on in tests]
+        rest = rows
+        for found, on in tests:
+            if how == "left_semi":
+                pieces.append(matched(rest, found, on, "left_semi"))
+            if how != "inner":
+                rest = matched(rest, found, on, "left_anti")
+        if how == "left_anti":
+            pieces.append(rest)
+        if how == "left":
+            pieces.append(rest.select(*a.df.columns, *(F.lit(None).cast(f.dataType).alias(f.name) for f in b.df.schema)))
+    out = pieces[0]
+    for x in pieces[1:]:
+        out = out.union(x)
+    return out
+
+
+def _loose(a: Rel, b: Rel, shared) -> list[str]:
+    return [n for n in shared if a.vars[n].maybe or b.vars[n].maybe]
+
+
 def join(a: Rel, b: Rel, how: str = "inner", condition=None) -> Rel:
     """Natural join on shared variables; ``condition``: a function of the joined relation to a Boolean column."""
     shared = [n for n in a.vars if n in b.vars]
@@ -98,10 +159,8 @@ def join(a: Rel, b: Rel, how: str = "inner", condition=None) -> Rel:
         whole = {**b.vars, **a.vars}
         extra = condition(Rel(a.df, whole))
         on = extra if on is None else on & extra
-    if on is None:
-        df = a.df.crossJoin(b.df) if how == "inner" else a.df.join(b.df, F.lit(True), how)
-    else:
-        df = a.df.join(b.df, on, how)
+    loose = _loose(a, b, shared)
+    df = parted(a, b, shared, loose, how, extra if condition is not None else None) if 0 < len(loose) <= SPLIT else matched(a.df, b.df, on, how)
     if merged:
         df = df.select("*", *(c.alias(i.column) for _, i, c in merged))
         out |= {n: i for n, i, _ in merged}
@@ -133,18 +192,26 @@ def semi(a: Rel, b: Rel, how: str, condition=None) -> Rel:
     if condition is not None:
         extra = condition(Rel(a.df, {**c.vars, **a.vars}))
         on = extra if on is None else on & extra
-    return Rel(a.df.join(c.df, F.lit(True) if on is None else on, how), a.vars)
+    loose = _loose(a, c, shared)
+    if 0 < len(loose) <= SPLIT:
+        return Rel(parted(a, c, shared, loose, how, extra if condition is not None else None), a.vars)
+    return Rel(matched(a.df, c.df, on, how), a.vars)
 
 
 def minus(a: Rel, b: Rel) -> Rel:
+    """Solutions of a without those that meet one of b in a variable that both bind; names with a dot are no variables of the query."""
     shared = [n for n in a.vars if n in b.vars]
-    if not shared:
+    real = [n for n in shared if not n.startswith(".")]
+    if not real:
         return a
     a, c = align(a, b.renamed(), shared)
+    loose = _loose(a, c, shared)
+    if 0 < len(loose) <= SPLIT:
+        return Rel(parted(a, c, shared, loose, "left_anti", real=real), a.vars)
     on = meets(a, c, shared)
-    if all(a.vars[n].maybe or c.vars[n].maybe for n in shared):
+    if all(a.vars[n].maybe or c.vars[n].maybe for n in real):
         both = F.lit(False)
-        for n in shared:
+        for n in real:
             both = both | (F.col(a.vars[n].column).isNotNull() & F.col(c.vars[n].column).isNotNull())
         on = on & both
     return Rel(a.df.join(c.df, on, "left_anti"), a.vars)

@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
+import time
 import uuid
 from collections.abc import Iterator, Mapping
 from dataclasses import asdict, dataclass, field
 from urllib.parse import parse_qsl
 
+from pyspark import InheritableThread
+
 from quadloom import session
 from quadloom.plans.parser import SparqlSyntaxError, parse_query, parse_update
 from quadloom.reasoner.policy import PRESETS, capabilities
@@ -22,7 +26,7 @@ from quadloom.sinks import results
 from quadloom.sources.rdf import RdfSyntaxError
 from quadloom.store.gate import Gate, ReasonerReject
 from quadloom.store.state import GraphError
-from quadloom.store.store import ConflictError, QuadStore
+from quadloom.store.store import CANCELLED, CancelledError, ConflictError, QuadStore
 
 FORM = "application/x-www-form-urlencoded"
 PAYLOADS = {"application/n-triples": "ntriples", "application/rdf+xml": "rdfxml", "text/turtle": "turtle", "application/x-turtle": "turtle"}
@@ -99,10 +103,50 @@ class Endpoint:
             if kind:
                 self.config.access.check(kind, own.get("authorization"))
                 self.rates.count(kind)
-            return answer(query, own, body)
+            seconds = getattr(self.config.limits, f"{kind}_seconds") if kind else 0
+            return self._in_time(lambda: answer(query, own, body), seconds) if seconds else answer(query, own, body)
         except Problem as x:
             return Answer(x.status, "text/plain", iter([x.detail])) if x.plain else Answer(x.status, "application/problem+json", iter([x.document()]))
 
+    def _in_time(self, run, seconds: float) -> Answer:
+        """The answer, or a refusal once its time is over: its Spark jobs are cancelled then, and a mutation is not published.
+
+        A body that is still being read when the time is over ends with the refusal as an error.
+        """
+        context, group, late = self.store.spark.sparkContext, f"quadloom-{uuid.uuid4().hex}", threading.Event()
+        out: dict[str, object] = {}
+        ends = time.monotonic() + seconds
+        refusal = Problem(408, f"not done in {seconds:g} seconds")
+
+        def work() -> None:
+            token = CANCELLED.set(late.is_set)
+            context.setJobGroup(group, "a request", interruptOnCancel=True)
+            try:
+                out["answer"] = run()
+            except BaseException as x:  # noqa: BLE001 - it is raised where the answer is awaited
+                out["error"] = x
+            finally:
+                CANCELLED.reset(token)
+
+        worker = InheritableThread(target=work, daemon=True, session=self.store.spark)
+        worker.start()
+        worker.join(seconds)
+        if worker.is_alive():
+            late.set()
+            context.cancelJobGroup(group)
+            raise refusal
+        if "error" in out:
+            raise out["error"]
+        answer = out["answer"]
+
+        def pieces(body: Iterator[str]) -> Iterator[str]:
+            for piece in body:
+                if time.monotonic() > ends:
+                    raise refusal
+                yield piece
+
+        return Answer(answer.status, answer.media, pieces(answer.body), answer.headers)
+
     # -- small answers ---------------------------------------------------------------
     @staticmethod
     def _json(value: object) -> Answer:
@@ -191,6 +235,8 @@ class Endpoint:
             raise self.last_reject from None
         except ConflictError as x:
             raise Problem(503, str(x)) from None
+        except CancelledError:
+            raise Problem(408, "the mutation was cancelled") from None
         except SparqlSyntaxError as x:
             raise self._syntax(x) from None
         except (RdfSyntaxError, GraphError, ValueError) as x:
@@ -257,6 +303,11 @@ class Endpoint:
         path = f"{session.shared_folder(self.store.spark)}/quadloom-backup-{uuid.uuid4().hex}"
         session.delete_at_end(self.store.spark, path)
         told = self.store.export(path)
+        # the checksum of the text itself, which passes here anyway
+        digest = hashlib.sha256()
+        for r in self.store.spark.read.text(path).orderBy("value").toLocalIterator():
+            digest.update(r["value"].encode() + b"\n")
+        told["sha256"] = digest.hexdigest()
         lines = self.store.spark.read.text(path).orderBy("value").toLocalIterator()
         return Answer(200, "application/n-quads", (r["value"] + "\n" for r in lines), {f"x-backup-{k.replace('_', '-')}": str(x) for k, x in told.items()})
 

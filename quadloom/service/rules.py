@@ -30,7 +30,7 @@ class Problem(Exception):
 
 @dataclass(frozen=True)
 class Limits:
-    """Bytes of requests (fixed values), and requests in a window for each kind of action; 0 is no limit."""
+    """Bytes of requests (fixed values); for each kind of action requests in a window, and seconds for one; 0 is no limit."""
 
     query: int = 1 << 20
     update: int = 1 << 20
@@ -39,6 +39,9 @@ class Limits:
     read: int = 0
     write: int = 0
     admin: int = 0
+    read_seconds: float = 0.0
+    write_seconds: float = 0.0
+    admin_seconds: float = 0.0
 
     def fits(self, what: str, size: int) -> None:
         most = getattr(self, what)

@@ -74,7 +74,7 @@ def apply_one(state: State, op, base: str = "") -> State:
         case a.Transfer(kind, source, target, silent):
             return _transfer(state, kind, source, target, silent)
         case a.Load(source, target, silent):
-            if not source.startswith(("file:", "/")):
+            if source.startswith(("http:", "https:", "ftp:")):
                 if silent:
                     return state
                 raise ValueError(f"LOAD of {source}: only files can be read")

@@ -1,14 +1,24 @@
-"""A quad store: immutable Parquet revisions, and a pointer that moves by an atomic rename."""
+"""A quad store: immutable Parquet revisions, each published by one file that only one writer can make.
+
+The file ``commit-<n>`` says where the data of revision n is; renaming it into
+place fails if it is there, so of two writers that begin at one revision the
+second gets a conflict and leaves nothing behind.  ``HEAD`` only saves looking
+for the last of these files.  The lock keeps writers from working for nothing;
+it is a lease, which a writer that died does not hold for ever.
+"""
 
 from __future__ import annotations
 
 import contextlib
 import hashlib
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +39,12 @@ class CancelledError(RuntimeError):
     """The mutation was cancelled before it was published."""
 
 
+#: Whether the work of this thread has been cancelled; nothing of it is published then.
+CANCELLED: ContextVar[Callable[[], bool]] = ContextVar("CANCELLED", default=lambda: False)
+#: Seconds for which a writer's lock holds.
+LEASE = 3600.0
+
+
 @dataclass(frozen=True)
 class WriteReport:
     target: str
@@ -57,31 +73,41 @@ class _Files:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str) -> None:
-        """Whole or not at all: a new file takes the old one's place."""
+    def write(self, name: str, text: str, replace: bool = True) -> bool:
+        """Whole or not at all: a new file takes the old one's place, or with ``replace`` off only a free place."""
+        from pyspark import SparkContext
+
         temporary = f".{name}-{uuid.uuid4().hex}"
         stream = self.fs.create(self.path(temporary), True)
         stream.write(bytearray(text.encode()))
         stream.close()
         options = self.jvm.org.apache.hadoop.fs.Options.Rename
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").toUri(), self.fs.getConf())
-        self._replace(context, temporary, name, options)
-
-    def _replace(self, context, temporary: str, name: str, options) -> None:
-        from pyspark import SparkContext
-
         flags = SparkContext._gateway.new_array(options, 1)
-        flags[0] = options.OVERWRITE
-        context.rename(self.path(temporary), self.path(name), flags)
-
-    def take(self, name: str) -> bool:
-        self.fs.mkdirs(self.path(""))
-        return self.fs.createNewFile(self.path(name))
+        flags[0] = options.OVERWRITE if replace else options.NONE
+        try:
+            context.rename(self.path(temporary), self.path(name), flags)
+        except Py4JJavaError:
+            self.drop(temporary)
+            if replace or not self.fs.exists(self.path(name)):
+                raise
+            return False
+        return True
 
     def drop(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
 
+def lines_digest(lines: DataFrame) -> tuple[str, int]:
+    """A checksum of the bag of lines ``value``, and their number; where a line stands does not count, so tasks sum their own.
+
+    Each line's SHA-256 is eight 32-bit numbers; the digest is the SHA-256 of their sums and the number of lines.
+    """
+    parts = [F.conv(F.substring(F.sha2("value", 256), 8 * k + 1, 8), 16, 10).cast("decimal(38,0)") for k in range(8)]
+    sums = lines.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(x), F.lit(0)) for x in parts)).first()
+    return hashlib.sha256(",".join(map(str, map(int, sums))).encode()).hexdigest(), sums[0]
+
+
 class QuadStore:
     """Revisions of a dataset under ``path``; every successful mutation makes the next one.
 
@@ -106,11 +132,14 @@ class QuadStore:
     # -- state -----------------------------------------------------------------
     @property
     def revision(self) -> int:
-        return json.loads(self.files.read("HEAD"))["revision"]
+        n = json.loads(self.files.read("HEAD"))["revision"]
+        while self.files.read(f"commit-{n + 1}") is not None:  # its writer did not get to HEAD
+            n += 1
+        return n
 
     def state(self, revision: int | None = None) -> State:
         n = self.revision if revision is None else revision
-        at = f"{self.path}/rev={n}"
+        at = f"{self.path}/{json.loads(self.files.read(f'commit-{n}'))['data']}"
         return State(self.spark.read.schema(rdf.QUADS).parquet(f"{at}/quads"), self.spark.read.schema("g string").parquet(f"{at}/graphs"))
 
     def engine(self, revision: int | None = None) -> Engine:
@@ -126,26 +155,38 @@ class QuadStore:
         return Engine(State(state.quads.select(*s.KEYS).union(report.inference.derived.select(*named, F.lit("").alias("g"))), state.graphs).dataset())
 
     def _publish(self, state: State, revision: int) -> State:
-        at = f"{self.path}/rev={revision}"
-        self.files.drop(f"rev={revision}")
+        data = f"rev={revision}-{uuid.uuid4().hex[:12]}"
+        at = f"{self.path}/{data}"
         state.quads.select(*s.KEYS).distinct().sortWithinPartitions("p", "g", "s").write.parquet(f"{at}/quads")
         state.graphs.select("g").union(state.quads.select("g").where("g <> ''")).distinct().coalesce(1).write.parquet(f"{at}/graphs")
+        if CANCELLED.get()():
+            self.files.drop(data)
+            raise CancelledError
+        if not self.files.write(f"commit-{revision}", json.dumps({"data": data}), replace=False):
+            self.files.drop(data)
+            raise ConflictError(f"{self.path}: revision {revision} was published by another writer")
         self.files.write("HEAD", json.dumps({"revision": revision}))
         return self.state(revision)
 
     @contextlib.contextmanager
-    def writer(self) -> Iterator[None]:
-        if not self.files.take("LOCK"):
-            raise ConflictError(f"{self.path} has a writer")
+    def writer(self, lease: float = LEASE) -> Iterator[None]:
+        mine = json.dumps({"owner": uuid.uuid4().hex, "until": time.time() + lease})
+        if not self.files.write("LOCK", mine, replace=False):
+            held = json.loads(self.files.read("LOCK") or '{"until": 0}')
+            if held["until"] > time.time():
+                raise ConflictError(f"{self.path} has a writer")
+            self.files.write("LOCK", mine)
         try:
             yield
         finally:
-            self.files.drop("LOCK")
+            if self.files.read("LOCK") == mine:
+                self.files.drop("LOCK")
 
     def mutate(self, change: Callable[[State], State], gate: Callable[[State, State], object] | None = None, cancelled: Callable[[], bool] = lambda: False) -> int:
         """The change of the newest state becomes the next revision if ``gate(before, after)`` does not object."""
         with self.writer():
-            before = self.state()
+            start = self.revision
+            before = self.state(start)
             after = change(before)
             if gate is not None:
                 # what is judged is what is published
@@ -153,9 +194,8 @@ class QuadStore:
                 gate(before, after)
             if cancelled():
                 raise CancelledError
-            revision = self.revision + 1
-            self._publish(after, revision)
-            return revision
+            self._publish(after, start + 1)
+            return start + 1
 
     # -- mutations ---------------------------------------------------------------
     def update(self, text: str, gate=None, base: str = "") -> int:
@@ -217,23 +257,15 @@ class QuadStore:
     def export(self, path: str) -> dict[str, object]:
         """All quads as sorted N-Quads files with a checksum of their lines; empty named graphs are not in this format."""
         revision = self.revision
-        lines = results.statement_lines(self.state(revision).quads)
-        lines.orderBy("value").write.text(path)
-        digest, n = hashlib.sha256(), 0
-        for row in self.spark.read.text(path).orderBy("value").toLocalIterator():
-            digest.update(row["value"].encode() + b"\n")
-            n += 1
-        return {"sha256": digest.hexdigest(), "quad_count": n, "revision": revision}
+        results.statement_lines(self.state(revision).quads).orderBy("value").write.text(path)
+        digest, n = lines_digest(self.spark.read.text(path))
+        return {"sha256": digest, "quad_count": n, "revision": revision}
 
     def restore(self, path: str, sha256: str | None = None, gate=None) -> dict[str, object]:
         """Replace everything by a backup, which is parsed as a whole before anything changes."""
         lines = self.spark.read.text(path)
-        if sha256 is not None:
-            digest = hashlib.sha256()
-            for row in lines.orderBy("value").toLocalIterator():
-                digest.update(row["value"].encode() + b"\n")
-            if digest.hexdigest() != sha256:
-                raise ValueError("the backup does not have the given checksum")
+        if sha256 is not None and lines_digest(lines)[0] != sha256:
+            raise ValueError("the backup does not have the given checksum")
         return self._restored(rdf.parse_lines(lines, True, scope=""), gate)
 
     def restore_payload(self, payload: str, gate=None) -> dict[str, object]:

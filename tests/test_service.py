@@ -1,6 +1,7 @@
 """The protocol endpoint, and the tools that compare and measure."""
 
 import json
+import time
 
 import pytest
 
@@ -75,6 +76,18 @@ def test_rules(spark, tmp_path):
             graph_target(bad)
 
 
+def test_timeouts(spark, tmp_path):
+    store = QuadStore(spark, str(tmp_path / "s"))
+    hasty = Endpoint(store, config=Config(limits=Limits(read_seconds=0.001, write_seconds=0.001)))
+    assert hasty.handle("POST", "/dataset/query", "", {}, b"ASK { ?s ?p ?o }").status == 408
+    assert hasty.handle("POST", "/dataset/update", "", {}, b"INSERT DATA { <e:a> <e:p> 1 }").status == 408
+    time.sleep(8)
+    assert store.revision == 0 and store.stats()["is_empty"]
+    patient = Endpoint(store, config=Config(limits=Limits(read_seconds=300, write_seconds=300)))
+    assert patient.handle("POST", "/dataset/update", "", {}, b"INSERT DATA { <e:a> <e:p> 1 }").status == 204
+    assert patient.handle("POST", "/dataset/query", "", {"Accept": "text/csv"}, b"ASK { ?s ?p ?o }").text() == "true"
+
+
 def test_harness(spark):
     ring = lambda names: [(names[k], "<e:p>", names[(k + 1) % len(names)]) for k in range(len(names))]
     a, b = ring(["_:a", "_:b", "_:c", "_:d"]), ring(["_:x", "_:q", "_:m", "_:n"])

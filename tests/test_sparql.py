@@ -5,6 +5,7 @@ import pytest
 from quadloom import vocab as v
 from quadloom.functions import scalars
 from quadloom.functions.terms import Val
+from quadloom.plans import compiler, relation
 from quadloom.plans.compiler import Engine
 from quadloom.plans.parser import SparqlSyntaxError, UnsupportedError, parse_query, parse_update
 from quadloom.sources.dataset import QuadDataset
@@ -77,6 +78,62 @@ def test_select(engine, text, expected):
     assert run(engine, text) == sorted(expected, key=repr)
 
 
+LOOSE = [
+    "SELECT * { VALUES (?x ?y) { (1 2) (1 UNDEF) (UNDEF 2) (UNDEF UNDEF) (3 4) (1 2) } VALUES (?x ?y ?z) { (1 2 0) (UNDEF 2 1) (1 UNDEF 2) (5 UNDEF 3) (UNDEF UNDEF 4) } }",
+    "SELECT * { VALUES (?x ?y) { (1 2) (1 UNDEF) (UNDEF 2) (7 8) (3 4) } OPTIONAL { VALUES (?x ?z) { (1 0) (UNDEF 1) (3 2) (3 3) } FILTER(?z != 1 || ?y = 2) } }",
+    "SELECT * { VALUES (?x ?y) { (1 2) (1 UNDEF) (UNDEF 2) (UNDEF UNDEF) (3 4) (1 2) } MINUS { VALUES (?x ?y) { (1 UNDEF) (UNDEF 4) (UNDEF UNDEF) } } }",
+    "SELECT * { VALUES (?x ?y) { (1 2) (1 UNDEF) (UNDEF 2) (UNDEF 9) (3 4) (1 2) } FILTER EXISTS { VALUES (?x ?y) { (1 UNDEF) (UNDEF 4) } } }",
+    "SELECT * { VALUES (?x ?y) { (1 2) (1 UNDEF) (UNDEF 2) (UNDEF 9) (3 4) (7 8) (7 8) } FILTER NOT EXISTS { VALUES (?x ?y) { (1 UNDEF) (UNDEF 4) } } }",
+]
+
+
+@pytest.mark.parametrize("text", LOOSE, ids=[str(k) for k in range(len(LOOSE))])
+def test_joins_split_by_what_is_bound(engine, text, monkeypatch):
+    """The same solutions as by a condition that says 'equal or unbound'."""
+    parted = run(engine, text)
+    monkeypatch.setattr(relation, "SPLIT", -1)
+    assert parted == run(engine, text) and parted
+
+
+GRAPH_CASES = [
+    ("SELECT ?g ?o ?x { GRAPH ?g { ?s :p ?o OPTIONAL { ?s :q ?x } } }", [("e:g", "1", "e:z"), ("e:h", "2", None)]),
+    ("SELECT ?g { GRAPH ?g { { ?s :q ?o } UNION { ?s :p \"2\" } } }", [("e:g",), ("e:g",), ("e:h",)]),
+    ("SELECT ?g ?s { GRAPH ?g { ?s :p ?o MINUS { ?s :q ?z } } }", [("e:h", "e:y")]),
+    ("SELECT ?g ?s { GRAPH ?g { ?s :p ?o MINUS { ?z :q ?w } } }", [("e:g", "e:x"), ("e:h", "e:y")]),
+    ("SELECT ?g ?s { GRAPH ?g { ?s :p ?o FILTER EXISTS { ?s :q ?z } } }", [("e:g", "e:x")]),
+    ("SELECT ?g ?y { GRAPH ?g { :x :q+ ?y } }", [("e:g", "e:w"), ("e:g", "e:z")]),
+    ("SELECT ?g ?y { GRAPH ?g { ?y (:q/:q)|^:p ?z } }", [("e:g", "1"), ("e:g", "e:x"), ("e:h", "2")]),
+    ("SELECT ?g ?v { GRAPH ?g { VALUES ?v { 1 } } }", [("e:empty", 1), ("e:g", 1), ("e:h", 1)]),
+    ("SELECT ?g ?n { GRAPH ?g { SELECT (COUNT(*) AS ?n) { ?s ?p ?o } } }", [("e:empty", 0), ("e:g", 3), ("e:h", 1)]),
+    ("SELECT ?g ?y { GRAPH ?g { :x :q* ?y } }", [("e:empty", "e:x"), ("e:g", "e:w"), ("e:g", "e:x"), ("e:g", "e:z"), ("e:h", "e:x")]),
+    ("SELECT ?g ?s { ?s2 a :Robot GRAPH ?g { ?s :p ?o FILTER(?o = \"1\") } }", [("e:g", "e:x")]),
+]
+
+
+@pytest.fixture(scope="module")
+def graphs(spark):
+    rows = [("<e:x>", "<e:p>", '"1"', "<e:g>"), ("<e:y>", "<e:p>", '"2"', "<e:h>"), ("<e:x>", "<e:q>", "<e:z>", "<e:g>"), ("<e:z>", "<e:q>", "<e:w>", "<e:g>"), ("<e:c>", f"<{v.TYPE}>", "<e:Robot>", "")]
+    return Engine(QuadDataset(spark.createDataFrame(rows, "s string, p string, o string, g string").cache(), spark.createDataFrame([("<e:empty>",)], "g string")))
+
+
+@pytest.mark.parametrize("text,expected", GRAPH_CASES, ids=[str(k) for k in range(len(GRAPH_CASES))])
+def test_variable_graphs(graphs, text, expected):
+    assert run(graphs, text) == sorted(expected, key=repr)
+
+
+def test_variable_graphs_in_parts(graphs, monkeypatch):
+    monkeypatch.setattr(compiler, "GRAPHS_AT_ONCE", 2)
+    assert run(graphs, GRAPH_CASES[8][0]) == sorted(GRAPH_CASES[8][1], key=repr)
+
+
+def test_distinct_ordered_by_what_it_leaves_out(engine):
+    ordered = lambda text: [r[0] for r in engine.select("PREFIX : <e:> " + text, native=True).collect()]
+    data = "VALUES (?a ?b ?c) { (1 5 1) (2 4 1) (1 3 2) (3 9 0) (2 8 3) }"
+    assert ordered(f"SELECT DISTINCT ?a {{ {data} }} ORDER BY ?b") == [1, 2, 3]
+    assert ordered(f"SELECT DISTINCT ?a {{ {data} }} ORDER BY DESC(?b)") == [3, 2, 1]
+    assert ordered(f"SELECT DISTINCT ?a {{ {data} }} ORDER BY DESC(?c) ?b LIMIT 2") == [2, 1]
+
+
 VALUES = [
     ('STR("a"@en)', '"a"'), ('UCASE("ab"@en)', '"AB"@en'), ('STRLEN("é€")', 2), ('SUBSTR("hello", 0, 3)', '"he"'), ('STRBEFORE("abc"@en, "b")', '"a"@en'),
     ('STRBEFORE("abc"@en, "z")', '""'), ('STRAFTER("a-b", "-")', '"b"'), ('CONCAT("a"@en, "b"@en)', '"ab"@en'), ('CONCAT("a"@en, "b")', '"ab"'),

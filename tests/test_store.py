@@ -84,6 +84,25 @@ def test_store(spark, tmp_path):
     assert store.restore(str(tmp_path / "b"), backup["sha256"])["quad_count"] == 3 and "quadloom_quads 3" in store.metrics()
 
 
+def test_writers_that_die_and_writers_that_meet(spark, tmp_path):
+    store = QuadStore(spark, str(tmp_path / "s"))
+    with pytest.raises(ZeroDivisionError), store.writer(lease=-1.0):
+        store.files.write("LOCK", json.dumps({"owner": "dead", "until": 0}))  # it never lets go
+        1 / 0
+    assert store.update("INSERT DATA { <e:a> <e:p> 1 }") == 1
+
+    def meanwhile(x):
+        other = QuadStore(spark, str(tmp_path / "s"))
+        other._publish(other.state().inserted(spark.createDataFrame([("<e:o>", "<e:p>", "<e:q>", "")], rdf.QUADS)), other.revision + 1)
+        return x.cleared("")
+
+    with pytest.raises(ConflictError):
+        store.mutate(meanwhile)
+    assert store.revision == 2 and store.stats()["quad_count"] == 2
+    store.files.write("HEAD", json.dumps({"revision": 1}))  # as if the last writer had died before it
+    assert store.revision == 2 and store.update("CLEAR ALL") == 3
+
+
 def test_inferred_engine(spark, tmp_path):
     store = QuadStore(spark, str(tmp_path / "s"))
     store.update(f"INSERT DATA {{ <e:x> a <e:A> . <e:A> <{v.SUB_CLASS}> <e:B> }}")
