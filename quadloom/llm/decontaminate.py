@@ -10,8 +10,10 @@ fingerprint within the radius.  Candidates are verified by the exact
 similarity of their weighted shingles (sum of least counts over sum of
 greatest counts), ``SIMILARITY`` = 0.8 or more.
 
-A window that has no shingle in common with any item has similarity 0, so only
-windows around shared shingles are fingerprinted.  At similarity 0.8 two
+The similarity of a window and an item is at most the share of the item's
+length that the window has in shingles known of items of that length.  Windows
+for which that is under 0.8 are left out by counting, so a shingle that many
+items share makes no window by itself; only the others are fingerprinted.  At similarity 0.8 two
 fingerprints differ in about 10 of 64 bits (standard deviation 3); the radius
 of 20 leaves a miss about one chance in two thousand for a passage that is
 exactly at the threshold and has one window only.
@@ -77,7 +79,13 @@ class Index:
         every = np.concatenate(self.shingles)
         owner = np.repeat(np.arange(len(items)), self.sizes)
         order = np.lexsort((owner, every))
-        self.known, self.owners = every[order], owner[order]
+        self.known = every[order]
+        # the distinct lengths of the items that have a shingle, side by side
+        sizes = self.sizes[owner[order]]
+        order = np.lexsort((sizes, self.known))
+        keep = np.ones(len(order), dtype=bool)
+        keep[1:] = (np.diff(self.known[order]) != 0) | (np.diff(sizes[order]) != 0)
+        self.pair_shingles, self.pair_sizes = self.known[order][keep], sizes[order][keep]
         self.filter = np.zeros(1 << 18, dtype=bool)
         self.filter[(self.known >> np.uint64(46)).astype(np.int64)] = True
         bounds = np.zeros(len(items) + 1, dtype=np.int64)
@@ -98,9 +106,12 @@ class Index:
         spot = np.searchsorted(self.known, shingles[at])
         return at[self.known[np.minimum(spot, len(self.known) - 1)] == shingles[at]]
 
-    def sizes_of(self, shingle: int) -> set[int]:
-        a, b = np.searchsorted(self.known, np.uint64(shingle), "left"), np.searchsorted(self.known, np.uint64(shingle), "right")
-        return set(self.sizes[self.owners[a:b]].tolist())
+    def by_size(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which, size): every distinct length of the items that have each of these shingles."""
+        first, last = (np.searchsorted(self.pair_shingles, shingles, side) for side in ("left", "right"))
+        count = last - first
+        which = np.repeat(np.arange(len(shingles)), count)
+        return which, self.pair_sizes[np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(which))]
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (print, item) pairs within the radius."""
@@ -127,13 +138,21 @@ def windows(index: Index, shingles: np.ndarray, ranges: np.ndarray) -> list[tupl
     text = np.searchsorted(ranges[:, 0], hits, "right") - 1
     inside = hits < ranges[text, 1] if len(hits) else np.zeros(0, bool)
     hits, text = hits[inside], text[inside]
-    spans: dict[tuple[int, int], set[int]] = {}
-    for place, t in zip(hits.tolist(), text.tolist()):
+    which, size = index.by_size(shingles[hits])
+    order = np.lexsort((hits[which], size, text[which]))
+    which, size = which[order], size[order]
+    heads = np.flatnonzero(np.concatenate([[True], (np.diff(text[which]) != 0) | (np.diff(size) != 0)])) if len(which) else np.zeros(0, np.int64)
+    wanted = []
+    for a, z in zip(heads, np.append(heads[1:], len(which))):
+        t, long = int(text[which[a]]), int(size[a])
         lo, hi = ranges[t].tolist()
-        for size in index.sizes_of(int(shingles[place])):
-            last = max(lo, hi - size)
-            spans.setdefault((t, size), set()).update(range(max(lo, min(place - size + 1, last)), min(place, last) + 1))
-    wanted = [(t, size, a) for (t, size), starts in spans.items() for a in sorted(starts)]
+        last = max(lo, hi - long)
+        places = hits[which[a:z]]
+        # how many of the places each window has
+        count = np.zeros(last - lo + 2, dtype=np.int64)
+        np.add.at(count, np.clip(places - long + 1, lo, last) - lo, 1)
+        np.subtract.at(count, np.minimum(places, last) - lo + 1, 1)
+        wanted += [(t, long, lo + k) for k in np.flatnonzero(np.cumsum(count[:-1]) >= SIMILARITY * long).tolist()]
     found = []
     for at in range(0, len(wanted), 2048):
         some = wanted[at : at + 2048]

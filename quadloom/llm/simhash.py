@@ -38,6 +38,8 @@ SHINGLE = 3
 SEED = 42
 #: Bytes of variants that one bucket, and so one task, should hold.
 BUCKET_BYTES = 6 << 20
+#: Fingerprints whose variants a task should emit, and the tasks for that at most.
+EMIT_ROWS, MOST_TASKS = 1 << 14, 100_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -161,7 +163,9 @@ def links(nodes: DataFrame, n_nodes: int) -> DataFrame:
         return pa.table([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=out)
 
     small_batches(spark)
-    emitted = nodes.select("fp").mapInArrow(_emit(buckets), "bucket int, variants binary, codes binary")
+    # a fingerprint becomes some 560 variants: tasks are dealt by what they will write, not by what they read
+    dealt = nodes.select("fp").repartition(max(1, min(MOST_TASKS, n_nodes // EMIT_ROWS)))
+    emitted = dealt.mapInArrow(_emit(buckets), "bucket int, variants binary, codes binary")
     return emitted.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
