@@ -385,7 +385,7 @@ def types_through_equality(spark, sf_dir):
 _FACTS = "(select count(*) from nation)"
 _STATS = [
     ("supported_asserted_triples", f"2 * {_FACTS} + 5"), ("unsupported_asserted_triples", _FACTS), ("unsupported_blank_node_subjects", "0"), ("unsupported_blank_node_objects", "0"), ("unsupported_literal_objects", _FACTS),
-    ("flattened_named_graph_quads", "0"), ("interned_terms", f"{_FACTS} + (select count(distinct n_regionkey) from nation) + 13"), ("subclass_edge_count", "2"), ("subproperty_edge_count", "1"), ("type_assertion_count", _FACTS),
+    ("flattened_named_graph_quads", "0"), ("interned_terms", f"{_FACTS} + (select count(distinct n_regionkey) from nation) + 11"), ("subclass_edge_count", "2"), ("subproperty_edge_count", "1"), ("type_assertion_count", _FACTS),
     ("property_assertion_count", _FACTS), ("equality_assertion_count", "0"), ("equality_cluster_count", "0"), ("inferred_equality_link_count", "0"), ("domain_assertion_count", "1"), ("range_assertion_count", "1"), ("taxonomy_node_count", "3"), ("property_taxonomy_node_count", "2"),
 ]
 
@@ -406,7 +406,7 @@ def run_statistics(spark, sf_dir):
     return spark.createDataFrame(list(found.stats.items()), "name string, n long")
 
 
-@query("select 'first' as run, 'completed' as status, false as execution_hit, false as schema_hit, 3 * count(*) + count(distinct n_regionkey) + 1 as derived from nation union all select 'same rows in another order', 'completed', true, false, 3 * count(*) + count(distinct n_regionkey) + 1 from nation union all select 'one row more', 'completed', false, true, 3 * count(*) + 1 + count(distinct n_regionkey) + 1 + 2 from nation")
+@query("select 'first' as run, 'completed' as status, false as execution_hit, false as schema_hit, 3 * count(*) + count(distinct n_regionkey) + 1 as derived from nation union all select 'same rows in another order', 'completed', true, false, 3 * count(*) + count(distinct n_regionkey) + 1 from nation union all select 'one row more', 'completed', false, true, 3 * count(*) + count(distinct n_regionkey) + 1 + 2 from nation")
 def run_caches(spark, sf_dir):
     """Runs are remembered by content, schemas by their axioms."""
     quads, r = nation_quads(spark, sf_dir), Reasoner("rules-mvp")
