@@ -141,7 +141,7 @@ def first_bits(listed: int, others: int) -> float:
     return max(BITS_PER_KEY, 1.44 * np.log2(max(1.0, others / max(1, listed))))
 
 
-def _filter_of(keys: DataFrame, n: int, number: int, bits: float) -> Level:
+def filter_of(keys: DataFrame, n: int, number: int, bits: float) -> Level:
     """The Bloom filter of the keys ``k``: each task sets bits of its own table, and equal words of tables are joined by bitwise or."""
     size = _table_bytes(n, bits)
     hashes = HASHES if bits == BITS_PER_KEY else max(HASHES, round(0.69 * bits))
@@ -196,7 +196,7 @@ def cascades(universe: DataFrame, listed: DataFrame, most_bytes: int = MOST_BYTE
         this, other = (x if parts == 1 else x.where(part_of(F.col("k"), parts) == part) for x in (inside, outside))
         levels: list[Level] = []
         while size := this.count():
-            level = _filter_of(this, size, len(levels), BITS_PER_KEY if levels else bits)
+            level = filter_of(this, size, len(levels), BITS_PER_KEY if levels else bits)
             wrong = written(_passing(other, level, len(levels)), "level")
             levels.append(level)
             this, other = wrong, this
