@@ -161,8 +161,9 @@ def filter_of(keys: DataFrame, n: int, number: int, bits: float) -> Level:
 
     table = np.zeros(-(-size // 8) * 8, dtype=np.uint8)
     words = table.view(np.int64)
-    for r in keys.select("k").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        words[r["word"]] = r["bits"]
+    # one job, and two columns of the table's set words
+    found = keys.select("k").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return Level(table[:size], hashes)
 
 
