@@ -26,11 +26,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm import bytesvec as bv
+from quadloom.llm import urls
 from quadloom.llm.common import batch, hex_of, pick, small_batches, written
 
 RADIUS = 3
@@ -247,11 +249,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def heads_of(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id names their component in ``groups`` (doc_id, component_id), and those without an id."""
-    groups = written(groups, "groups")
-    heads = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    heads = heads.select(F.col("doc_id").alias("_head"), F.col("n").alias("_n"))
-    kept = docs.join(heads, docs[id_col] == heads["_head"])
-    single = kept.where("_n = 1").select(docs.columns)
-    repeated = kept.where("_n > 1").select(docs.columns).dropDuplicates([id_col])
-    return single.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs`` whose id names their component in ``groups`` (doc_id, component_id), and those without an id.
+
+    Most ids stay, so a Bloom filter holds the others and those that repeat: a row that it stops stays where it is,
+    and only rows that it lets through are joined.  It has at most 6 MB; past its size it lets more rows through.
+    """
+    named = groups.where("doc_id is not null").groupBy("doc_id")
+    ids = written(named.agg(F.max(F.expr("doc_id = component_id")).alias("head"), F.count(F.lit(1)).alias("n")), "ids")
+    unsure = ids.where("not head or n > 1").select(F.col("doc_id").alias("k"))
+    level = urls.filter_of(unsure, min(unsure.count(), urls.FILTER_KEYS), 0, urls.BITS_PER_KEY)
+
+    @F.pandas_udf("boolean")
+    def through(key: pd.Series) -> pd.Series:
+        return pd.Series(urls.accepts(level, key.to_numpy().view(np.uint64), 0))
+
+    own = docs[id_col]
+    passes = through(F.coalesce(own.cast("long"), F.lit(0).cast("long")))
+    heads = ids.where("head").select(F.col("doc_id").alias("_head"), F.col("n").alias("_n"))
+    found = docs.where(own.isNotNull() & passes).join(heads, own == heads["_head"])
+    columns = [docs[c] for c in docs.columns]
+    single = found.where(heads["_n"] == 1).select(columns)
+    repeated = found.where(heads["_n"] > 1).select(columns).dropDuplicates([id_col])
+    return docs.where(own.isNull() | ~passes).unionByName(single).unionByName(repeated)

@@ -46,6 +46,8 @@ LISTED_NAMES, LISTED_UNDER = ("ads-track", "adult-x", "casino-win", "cheap-pills
 PARAGRAPHS = 2
 #: Bits and hashes for a key of the levels after the first.
 BITS_PER_KEY, HASHES = 12, 5
+#: Keys for which a filter that spares a join rows has room.
+FILTER_KEYS = 4_000_000
 #: Bytes of a part of the cascade, about.
 MOST_BYTES = 64 << 20
 
