@@ -74,3 +74,16 @@ def test_rows_without_text_or_id(spark):
     kept = sorted((r.doc_id is None, r.doc_id) for r in similar.keep_one(docs).collect())
     assert kept == [(False, 2), (False, 3), (True, None), (True, None)]
     assert similar.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_full_filters_lose_nothing(spark, monkeypatch):
+    """Filters with room for one key let nearly all rows through to the joins; groups and kept rows are the same."""
+    monkeypatch.setattr(similar.urls, "FILTER_KEYS", 1)
+    rows = grown(7)
+    rows += [(1000 + i, t) for i, t in rows[:40]] + [(5000, rows[3][1])] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    heads = brute_heads(rows)
+    assert {r.doc_id: r.component_id for r in similar.near_duplicates(docs).collect()} == heads
+    assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == sorted(set(heads.values()))
+    twice = docs.union(docs.where("doc_id < 20"))
+    assert sorted(r.doc_id for r in similar.keep_one(twice).collect()) == sorted(set(heads.values()))
