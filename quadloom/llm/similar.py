@@ -1,12 +1,17 @@
-"""Near-duplicates by similarity: MinHash bands find candidates, exact similarity of shingle sets decides.
+"""Near-duplicates by similarity: SimHash balls and MinHash bands find candidates, exact similarity of shingle sets decides.
 
 Two texts are near-duplicates if their sets of five-word shingles have a
 similarity (common over all) of ``SIMILARITY`` = 0.8 or more; chains of such
 pairs make a group.  Words and shingle hashes are those of ``simhash``.
 
-Texts with equal sets are one node.  A node has ``BANDS`` keys, each of ``ROWS``
-minima; two nodes of similarity s meet in a band with probability s**ROWS, so a
-pair that is just at 0.8 is missed about three times in a million.
+Texts with equal sets are one node.  Its fingerprint is the SimHash of its set,
+and fingerprints at 3 or fewer differing bits are found by the balls of
+``simhash``; the least node of a fingerprint stands for it there and is a
+candidate for its other nodes.  At similarity 0.8 fingerprints differ in about
+10 bits, so balls alone would miss most pairs.  Therefore a node also has
+``BANDS`` keys, each of ``ROWS`` minima; two nodes of similarity s meet in a
+band with probability s**ROWS, so a pair that is just at 0.8 is missed about
+three times in a million.  Candidates of both kinds pass the same exact check.
 
 Members of a bucket (the nodes with one key) are first compared with its least
 member.  Buckets whose members are then not all in one component are cut into
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from quadloom.llm import bytesvec as bv
 from quadloom.llm import urls
 from quadloom.llm.common import batch, null_safe_id, pick, small_batches, written
-from quadloom.llm.simhash import components, grouped, heads_of, shingle_hashes
+from quadloom.llm.simhash import components, grouped, heads_of, links, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -71,9 +76,9 @@ def keys_of(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, n, keys): fp names the text's set of n shingles."""
+    """(doc_id, fp, n, print, keys): fp names the text's set of n shingles, print is its SimHash."""
     small_batches(docs.sparkSession)
-    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("print", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,9 +88,19 @@ def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 counts = np.zeros(len(offsets), dtype=np.int32)
                 counts[filled + 1] = BANDS
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(keys.ravel()))
-                yield batch(out, rows.column(0).cast(pa.int64()), nodes_of(hashes, bounds).view(np.int64), np.diff(bounds), lists)
+                yield batch(out, rows.column(0).cast(pa.int64()), nodes_of(hashes, bounds).view(np.int64), np.diff(bounds), bv.majority(hashes, bounds).view(np.int64), lists)
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, fp long, n long, keys array<long>")
+    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, fp long, n long, print long, keys array<long>")
+
+
+def met_in_balls(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: candidates whose fingerprints are equal or meet in balls; nodes: (fp, n, print)."""
+    filled = nodes.where("n > 0").select("fp", "print")
+    prints = written(filled.groupBy("print").agg(F.min("fp").alias("node")), "prints")
+    own, other = (prints.toDF(x, f"node_{x}") for x in "ab")
+    between = links(prints.select(F.col("print").alias("fp")), prints.count()).join(own, "a").join(other, "b").select("node_a", "node_b")
+    within = filled.join(prints, "print").where("fp <> node").select("node", "fp")
+    return between.union(within).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
 def _with_nodes(docs: DataFrame, id_col: str, text_col: str, wanted: urls.Level) -> DataFrame:
@@ -153,16 +168,17 @@ def _compared(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([node[k] for k, _ in links], pa.int64()), "b": pa.array([node[j] for _, j in links], pa.int64())})
 
 
-def found_in(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(node, root) for every node that has links; members: (key, node) of buckets with more than one node, sets: (node, n, shingles)."""
+def found_in(members: DataFrame, sets: DataFrame, block: int = BLOCK, met: DataFrame | None = None) -> DataFrame:
+    """(node, root) for every node that has links; members: (key, node) of buckets with more than one node, sets: (node, n, shingles), met: more candidates (a, b), a < b."""
     small_batches(members.sparkSession)
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
     stars = members.join(hubs, "key").where("node <> hub")
-    pairs = stars.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = stars.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    pairs = (pairs if met is None else pairs.union(met)).distinct()
     own, other = (sets.toDF(x, f"n_{x}", f"shingles_{x}") for x in "ab")
     both = pairs.join(own, "a").join(other, "b").where(f"least(n_a, n_b) >= {SIMILARITY} * greatest(n_a, n_b)")
-    links = written(both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_similar, "a long, b long"), "links")
-    roots = components(links)
+    near = written(both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_similar, "a long, b long"), "links")
+    roots = components(near)
     # a hub has been compared with all members of its bucket
     rest = stars.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("node_root"))
     parts = rest.groupBy("key").agg(F.min("node_root").alias("lo"), F.max("node_root").alias("hi"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).where("lo < hi").select("key", "parts")
@@ -171,17 +187,19 @@ def found_in(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFra
         return roots
     dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "node", "node_root", F.least("part", "with").alias("x"), F.greatest("part", "with").alias("y"))
     more = dealt.join(sets.select("node", "shingles"), "node").groupBy("key", "x", "y").applyInArrow(_compared, "a long, b long").distinct()
-    return components(links.union(more))
+    return components(near.union(more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row for each row of ``docs``: doc_id, component_id (least doc_id reachable)."""
     rows = written(with_keys(docs, id_col, text_col), "keys")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("keys").alias("keys")), "nodes")
+    met = written(met_in_balls(nodes), "met")
     every = nodes.select(F.explode("keys").alias("key"), F.col("fp").alias("node"))
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = written(every.join(shared, "key"), "members")
-    wanted = nodes.join(members.select(F.col("node").alias("fp")).distinct(), "fp").select(F.col("fp").alias("node"), "n", null_safe_id("least").alias("id"))
+    partners = members.select(F.col("node").alias("fp")).union(met.select("a")).union(met.select("b")).distinct()
+    wanted = nodes.join(partners, "fp").select(F.col("fp").alias("node"), "n", null_safe_id("least").alias("id"))
     wanted = written(wanted, "wanted")
     # a filter of at most 6 MB, so that of each text with a partner one row travels; past its size it lets more rows through
     keys = wanted.select(F.expr("node ^ id").alias("k"))
@@ -190,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = _with_nodes(docs, id_col, text_col, through).dropDuplicates(["node"])
     texts = found.join(wanted.select("node", "n"), "node").select("node", "n", "text")
     sets = written(texts.mapInArrow(_sets, "node long, n long, shingles binary"), "sets")
-    return grouped(rows.select("doc_id", "fp"), nodes.select("fp", "least"), found_in(members, sets, block)).select("doc_id", "component_id")
+    return grouped(rows.select("doc_id", "fp"), nodes.select("fp", "least"), found_in(members, sets, block, met)).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -87,3 +87,25 @@ def test_full_filters_lose_nothing(spark, monkeypatch):
     assert sorted(r.doc_id for r in similar.keep_one(docs).collect()) == sorted(set(heads.values()))
     twice = docs.union(docs.where("doc_id < 20"))
     assert sorted(r.doc_id for r in similar.keep_one(twice).collect()) == sorted(set(heads.values()))
+
+
+def test_balls_find_candidates(spark, monkeypatch):
+    """Fingerprints that are equal or at three or fewer bits are candidates, and one that no band finds is still linked."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(1500)]
+    texts = [base, [*base, "end"], ["head", *base], base[:700], [f"v{k}" for k in range(90)], []]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = similar.with_keys(docs, "doc_id", "text").cache()
+    named = {r.fp: r for r in nodes.collect()}
+    met = {(r.a, r.b) for r in similar.met_in_balls(nodes).collect()}
+    bits = lambda a, b: ((named[a].print ^ named[b].print) & (1 << 64) - 1).bit_count()
+    assert met and all(a < b and bits(a, b) <= 3 for a, b in met)
+    reached = {named[x].doc_id for pair in met for x in pair}
+    assert reached >= {0, 1, 2} and 5 not in reached
+
+    # keys that meet in no band
+    bare = nodes.withColumn("keys", similar.F.expr("array(xxhash64(fp))"))
+    monkeypatch.setattr(similar, "with_keys", lambda docs, id_col, text_col: bare)
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5}
