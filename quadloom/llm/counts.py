@@ -65,7 +65,7 @@ class ByteVocabulary:
         self.core = tiktoken.Encoding("pieces", pat_str=f"[^{BREAK}]+|{BREAK}", mergeable_ranks=ranks, special_tokens={})._core_bpe if ids == sorted(ids) else None
         self.mark = None if self.core is None else self.core.encode_ordinary(BREAK)
         self.table = pretokens.PieceTable(PIECES)
-        self.ids = pretokens.PieceTable(PIECES)
+        self.short = pretokens.IdTable(PIECES)
 
     @classmethod
     def load(cls, path: str) -> "ByteVocabulary":
@@ -108,8 +108,8 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in shown}, **{b: chr(0x100 + k) for k, b in enumerate(hidden)}}
 
 
-def chunk_counts(vocabulary: ByteVocabulary, buf: np.ndarray, offsets: np.ndarray, plain: bool = False) -> np.ndarray:
-    """The number of tokens of each text of a chunk; ``plain``: special strings are text like any other."""
+def chunk_counts(vocabulary: ByteVocabulary, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The number of tokens of each text of a chunk."""
     text, points, bounds = pretokens.code_points(buf, offsets)
     starts, ends = pretokens.spans_gpt(points, bounds)
     values, which = vocabulary.table.lookup(pretokens.span_hashes(points, starts, ends), text, starts, ends, vocabulary.count_pieces)
@@ -118,7 +118,7 @@ def chunk_counts(vocabulary: ByteVocabulary, buf: np.ndarray, offsets: np.ndarra
         np.cumsum(np.array(values, dtype=np.int64)[which], out=sums[1:])
     at = np.searchsorted(starts, bounds)
     counts = sums[at[1:]] - sums[at[:-1]]
-    for special in () if plain else vocabulary.special:
+    for special in vocabulary.special:
         if special in text:
             for k in range(len(counts)):
                 own = text[bounds[k] : bounds[k + 1]]

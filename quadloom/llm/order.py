@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from quadloom.llm import bytesvec as bv
 from quadloom.llm import pretokens
 from quadloom.llm.common import batch, pick, small_batches, written
-from quadloom.llm.counts import PIECES, ByteVocabulary, chunk_counts
+from quadloom.llm.counts import ByteVocabulary
 
 LENGTH = 512
 SHARD = 8192
@@ -45,6 +46,8 @@ HEADER = 16
 ROUNDS = 6
 #: Partitions of the shuffle at most; with more shards each partition has a run of whole ones, sorted by spilling.
 MOST_PARTITIONS = 20_000
+#: Records that are made at once.
+BATCH = 4096
 _NULL_ID = -(1 << 63)
 
 
@@ -74,20 +77,35 @@ def permuted(index: np.ndarray, n: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def chunk_sequences(vocabulary: ByteVocabulary, table: pretokens.PieceTable, ids: list, buf: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, bytes]]:
+def chunk_ids(vocabulary: ByteVocabulary, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each piece of a chunk where its ids begin in ``vocabulary.short``, and the number of ids before it; for each text the number of ids."""
     text, points, bounds = pretokens.code_points(buf, offsets)
     starts, ends = pretokens.spans_gpt(points, bounds)
-    values, which = table.lookup(pretokens.span_hashes(points, starts, ends), text, starts, ends, vocabulary.short_pieces)
-    which = which.tolist()
-    at = np.searchsorted(starts, bounds).tolist()
-    wide = 2 * length
-    for doc_id, a, b in zip(ids, at[:-1], at[1:]):
-        body = b"".join([values[k] for k in which[a:b]])
-        for part, lo in enumerate(range(0, len(body), wide)):
-            own = body[lo : lo + wide]
-            used = len(own) // 2
-            header = np.array([_NULL_ID if doc_id is None else doc_id, part | used << 32], dtype="<i8").tobytes()
-            yield doc_id, part, used, header + own + b"\0" * (wide - len(own))
+    begin, size = vocabulary.short.lookup(pretokens.span_hashes(points, starts, ends), text, starts, ends, vocabulary.short_pieces)
+    before = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(size, out=before[1:])
+    return begin, before, np.diff(before[np.searchsorted(starts, bounds)])
+
+
+def chunk_sequences(vocabulary: ByteVocabulary, doc_ids: pa.Array, buf: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]]:
+    """(doc_id, part, n_tokens, record) of the sequences of a chunk, ``BATCH`` at a time."""
+    begin, before, tokens = chunk_ids(vocabulary, buf, offsets)
+    ids = vocabulary.short.ids[np.repeat(begin - before[:-1], np.diff(before)) + np.arange(before[-1])]
+    each = -(-tokens // length)
+    owner = np.repeat(np.arange(len(tokens)), each)
+    part = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+    used = np.minimum(length, tokens[owner] - part * length)
+    first = np.cumsum(used) - used
+    named = pc.fill_null(doc_ids, _NULL_ID).to_numpy(zero_copy_only=False)
+    for at in range(0, len(owner), BATCH):
+        some = slice(at, at + BATCH)
+        n = len(owner[some])
+        records = np.zeros((n, HEADER // 2 + length), dtype="<u2")
+        head = np.stack([named[owner[some]], part[some] | used[some] << 32], axis=1).astype("<i8")
+        records[:, : HEADER // 2] = head.view("<u2")
+        records[:, HEADER // 2 :][np.arange(length) < used[some, None]] = ids[first[at] : first[at] + used[some].sum()]
+        ends = pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(records.itemsize * records.shape[1]))
+        yield doc_ids.take(pa.array(owner[some])), part[some].astype(np.int32), used[some].astype(np.int32), pa.Array.from_buffers(pa.binary(), n, [None, ends.buffers()[1], pa.py_buffer(records)])
 
 
 def counted(texts: DataFrame, vocabulary_path: str, length: int) -> DataFrame:
@@ -99,7 +117,7 @@ def counted(texts: DataFrame, vocabulary_path: str, length: int) -> DataFrame:
         n = 0
         for b in batches:
             for _, buf, offsets in bv.chunks(b, "text"):
-                n += int((-(-chunk_counts(vocabulary, buf, offsets, plain=True) // length)).sum())
+                n += int((-(-chunk_ids(vocabulary, buf, offsets)[2] // length)).sum())
         yield batch(out, [TaskContext.get().partitionId()], [n])
 
     return texts.mapInArrow(run, "src int, n long")
@@ -121,17 +139,15 @@ def training_order(docs: DataFrame, vocabulary_path: str, key: str, length: int
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = ByteVocabulary.load(vocabulary_path)
-        table = vocabulary.__dict__.setdefault("short_table", pretokens.PieceTable(PIECES // 2))
         src, pos = TaskContext.get().partitionId(), 0
         most = int(number[src]) if src < len(number) else 0
         for b in batches:
             for rows, buf, offsets in bv.chunks(b, "text"):
-                made = list(chunk_sequences(vocabulary, table, rows.column(0).to_pylist(), buf, offsets, length))
-                if made:
-                    if pos + len(made) > most:
-                        break
-                    yield batch(out, permuted(base[src] + np.arange(pos, pos + len(made)), n, key), *zip(*made))
-                pos += len(made)
+                for made in chunk_sequences(vocabulary, rows.column(0).cast(pa.int64()), buf, offsets, length):
+                    n_made = len(made[0])
+                    if pos + n_made <= most:
+                        yield batch(out, permuted(base[src] + np.arange(pos, pos + n_made), n, key), *made)
+                    pos += n_made
         if pos != most:
             raise RuntimeError(f"the input changed between its two passes: {pos} sequences, {most} before; write it to a table first")
 

@@ -141,3 +141,74 @@ class PieceTable:
             pieces = [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
             known.update(zip([each[k] for k in fresh], work(pieces)))
         return [known[h] for h in each], inverse
+
+
+class IdTable:
+    """The token ids of distinct pieces, found by hash in arrays (open addressing, at most half full); emptied when it holds over ``most`` pieces."""
+
+    def __init__(self, most: int) -> None:
+        self._most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self._known = self._end = 0
+        self._slots(1 << 16)
+        #: the ids of all pieces after one another
+        self.ids = np.zeros(1 << 18, dtype="<u2")
+
+    def _slots(self, n: int) -> None:
+        self._hash, self._begin, self._size = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+
+    def _home(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64(len(self._hash) - 1)).astype(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash; a slot of size 0 if it is not there."""
+        slot, last = self._home(hashes), len(self._hash) - 1
+        rest = np.flatnonzero(self._hash[slot] != hashes)
+        while len(rest):
+            rest = rest[self._size[slot[rest]] > 0]
+            slot[rest] = slot[rest] + 1 & last
+            rest = rest[self._hash[slot[rest]] != hashes[rest]]
+        return slot
+
+    def _insert(self, hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Distinct hashes that are not there yet."""
+        slot, last = self._home(hashes), len(self._hash) - 1
+        live = np.arange(len(hashes))
+        while len(live):
+            free = live[self._size[slot[live]] == 0]
+            self._hash[slot[free]] = hashes[free]
+            # of several for one slot the last has it
+            won = free[self._hash[slot[free]] == hashes[free]]
+            self._begin[slot[won]], self._size[slot[won]] = begin[won], size[won]
+            live = np.setdiff1d(live, won, assume_unique=True)
+            slot[live] = slot[live] + 1 & last
+
+    def _learn(self, hashes: np.ndarray, made: list[bytes]) -> None:
+        size = np.fromiter(map(len, made), np.int64, len(made)) // 2
+        stop = self._end + np.cumsum(size)
+        end = int(stop[-1])
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self._end], np.zeros(2 * end - self._end, "<u2")])
+        self.ids[self._end : end] = np.frombuffer(b"".join(made), "<u2")
+        self._end, self._known = end, self._known + len(made)
+        if 2 * self._known > len(self._hash):
+            full = np.flatnonzero(self._size)
+            old = self._hash[full], self._begin[full], self._size[full]
+            self._slots(1 << (4 * self._known - 1).bit_length())
+            self._insert(*old)
+        self._insert(hashes, stop - size, size)
+
+    def lookup(self, hashes: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray, work) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``ids`` each span's ids begin, and how many they are; ``work(pieces)`` gives the ids of new pieces, each once, as bytes."""
+        if self._known > self._most:
+            self._clear()
+        slot = self._find(hashes)
+        new = np.flatnonzero(self._size[slot] == 0)
+        if len(new):
+            fresh, first = np.unique(hashes[new], return_index=True)
+            at = new[first]
+            self._learn(fresh, work([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]))
+            slot = self._find(hashes)
+        return self._begin[slot], self._size[slot]

@@ -7,11 +7,13 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quadloom.llm import bpe, chat, counts, decontaminate, order, quality, queries, secrets, simhash, suffix, urls
+from quadloom.llm import bpe, chat, counts, decontaminate, order, pretokens, quality, queries, secrets, simhash, suffix, urls
+from quadloom.llm import bytesvec as bv
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -281,6 +283,28 @@ def test_training_order_refuses_what_it_cannot_hold(spark, docs):
     assert order.training_order(moving, path, "key", length=64, shard=100).count() > 0
 
 
+def test_second_pass_encodes_no_piece_again(rows, monkeypatch):
+    """Both passes share one table of ids; one that is emptied all the time, and whose hashes clash, gives the same records."""
+    vocabulary = counts.ByteVocabulary.load(queries.vocabulary("byte_bpe_50k.json"))
+    chunk = pa.record_batch({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+    encode, made = vocabulary.encode_pieces, []
+    monkeypatch.setattr(vocabulary, "encode_pieces", lambda pieces: made.append(len(pieces)) or encode(pieces))
+
+    def sequences(most):
+        monkeypatch.setattr(vocabulary, "short", pretokens.IdTable(most))
+        n = [order.chunk_ids(vocabulary, buf, offsets)[2] for _, buf, offsets in bv.chunks(chunk, "text", 4096)]
+        made.append(-1)
+        parts = [x for own, buf, offsets in bv.chunks(chunk, "text", 4096) for x in order.chunk_sequences(vocabulary, own.column(0), buf, offsets, 64)]
+        assert np.concatenate(n).sum() == sum(int(x[2].sum()) for x in parts)
+        return [r for x in parts for r in zip(x[0].to_pylist(), x[1].tolist(), x[2].tolist(), x[3].to_pylist())]
+
+    once = sequences(10**6)
+    assert made[-1] == -1 and len(made) > 2
+    assert sequences(1) == once
+    monkeypatch.setattr(pretokens.IdTable, "_home", lambda self, hashes: (hashes & np.uint64(1)).astype(np.int64))
+    assert sequences(50) == once
+
+
 # --- 4 -----------------------------------------------------------------------
 
 
