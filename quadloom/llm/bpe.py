@@ -10,6 +10,10 @@ word-end mark.
 The normaliser is NFC, white space to one space, lower case letter by letter.
 Texts with special strings go piece by piece between them.  Null texts are
 empty: no ids, an empty decoded text.  Repeated rows give repeated results.
+
+``encode`` remembers the ids of fragments in arrays, some 30 bytes for each,
+since a worker outlives its task and keeps what it knows; decimal ids and
+tokens as bytes are made only where digests need them.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +47,30 @@ def normalised(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+class KnownIds:
+    """The ids of distinct fragments: hashes in order, the row of each, and for each row the range of its ids."""
+
+    def __init__(self) -> None:
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.bounds, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def rows_of(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash, -1 for one that is not known."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, dtype=np.int64)
+        spot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[spot] == hashes, self.rows[spot], -1).astype(np.int64)
+
+    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> np.ndarray:
+        """Rows for hashes in order, none of them known."""
+        rows = np.arange(len(self.rows), len(self.rows) + len(hashes))
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.rows = np.insert(self.hashes, at, hashes), np.insert(self.rows, at, rows)
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], dtype=np.int32)])
+        return rows
+
+
 class WordVocabulary:
     """A BPE vocabulary whose tokens at word ends carry a mark."""
 
@@ -55,7 +84,6 @@ class WordVocabulary:
             raise ValueError(f"{path}: a BPE vocabulary with word ends and neither post-processor nor decoder is needed")
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
-        self.tokens = {i: t for t, i in self.ids.items()}
         #: key of a pair of ids -> place in the list of merges, and the id that each merge makes
         self.ranks: dict[int, int] = {}
         self.made: list[int] = []
@@ -78,14 +106,25 @@ class WordVocabulary:
             raise ValueError(f"{path}: no token for the single bytes {missing[:5]}")
         self.inner = [self.ids[self.letters[b]] for b in range(256)]
         self.final = [self.ids[self.letters[b] + self.end] for b in range(256)]
-        self.decimal = {i: str(i).encode() for i in self.tokens}
-        self.raw = {i: t.encode() for i, t in self.tokens.items()}
-        # what is known of distinct fragments: row by hash, and by row the number of ids, decimal ids, decoded tokens
+        self.known = KnownIds()
+        # what digests know of distinct fragments: row by hash, and by row the number of ids, decimal ids, decoded tokens
         self.rows: dict[int, int] = {}
         self.counts: list[int] = []
         self.decimals: list[bytes] = []
         self.decoded: list[bytes] = []
 
+    @cached_property
+    def tokens(self) -> dict[int, str]:
+        return {i: t for t, i in self.ids.items()}
+
+    @cached_property
+    def decimal(self) -> dict[int, bytes]:
+        return {i: str(i).encode() for i in self.tokens}
+
+    @cached_property
+    def raw(self) -> dict[int, bytes]:
+        return {i: t.encode() for i, t in self.tokens.items()}
+
     @classmethod
     def load(cls, path: str) -> "WordVocabulary":
         if path not in cls._loaded:
@@ -167,8 +206,8 @@ def fragments(vocabulary: WordVocabulary, buf: np.ndarray, offsets: np.ndarray)
     return starts, ends, ends == limit
 
 
-def chunk_encode(vocabulary: WordVocabulary, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
-    """(number of ids, decimal ids joined by spaces, decoded UTF-8) of each normalised text without special strings."""
+def _hashed(vocabulary: WordVocabulary, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes and offsets of texts, and of their fragments starts, ends, word-end flags and hashes."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     offsets = np.zeros(len(raw) + 1, dtype=np.int64)
     np.cumsum([len(r) for r in raw], out=offsets[1:])
@@ -176,7 +215,31 @@ def chunk_encode(vocabulary: WordVocabulary, texts: list[str]) -> Iterator[tuple
     buf = np.frombuffer(body, np.uint8)
     starts, ends, last = fragments(vocabulary, buf, offsets)
     hashes = bv.span_hash(bv.prefix_sums(buf), starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    hashes = np.where(last, hashes ^ _WORD_END, hashes)
+    return body, offsets, starts, ends, last, np.where(last, hashes ^ _WORD_END, hashes)
+
+
+def chunk_ids(vocabulary: WordVocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of normalised texts without special strings, one text after another, and for each the range of its own."""
+    body, offsets, starts, ends, last, hashes = _hashed(vocabulary, texts)
+    distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    if len(vocabulary.known.hashes) > FRAGMENTS:
+        vocabulary.known = KnownIds()
+    known = vocabulary.known
+    found = known.rows_of(distinct)
+    new = np.flatnonzero(found < 0)
+    if len(new):
+        found[new] = known.add(distinct[new], [vocabulary.encode_fragment(body[starts[i] : ends[i]], bool(last[i])) for i in first[new].tolist()])
+    rows = found[inverse]
+    counts = known.bounds[rows + 1] - known.bounds[rows]
+    sums = np.zeros(len(rows) + 1, dtype=np.int64)
+    np.cumsum(counts, out=sums[1:])
+    ids = known.ids[np.repeat(known.bounds[rows] - sums[:-1], counts) + np.arange(sums[-1])]
+    return ids, sums[np.searchsorted(starts, offsets)]
+
+
+def chunk_encode(vocabulary: WordVocabulary, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
+    """(number of ids, decimal ids joined by spaces, decoded UTF-8) of each normalised text without special strings."""
+    body, offsets, starts, ends, last, hashes = _hashed(vocabulary, texts)
     distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     v = vocabulary
     if len(v.rows) > FRAGMENTS:
@@ -204,13 +267,13 @@ def chunk_encode(vocabulary: WordVocabulary, texts: list[str]) -> Iterator[tuple
         yield int(sums[b] - sums[a]), b" ".join(map(decimal, own)), b" ".join(map(decoded, own))
 
 
-def encode_texts(vocabulary: WordVocabulary, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
-    """The same for any texts: special strings stand for themselves, and what lies between them is normalised and encoded."""
+def _pieces(vocabulary: WordVocabulary, texts: list[str]) -> tuple[list[str], list[list[int]]]:
+    """The normalised pieces between special strings, and for each text its pieces by number, the id of a special string between any two."""
     pattern = re.compile("|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
     pieces: list[str] = []
-    layout: list[list] = []
+    layout: list[list[int]] = []
     for text in texts:
-        own: list = []
+        own: list[int] = []
         at = 0
         if pattern is not None and any(s in text for s in vocabulary.special):
             for m in pattern.finditer(text):
@@ -220,6 +283,24 @@ def encode_texts(vocabulary: WordVocabulary, texts: list[str]) -> Iterator[tuple
         own.append(len(pieces))
         pieces.append(normalised(text[at:]))
         layout.append(own)
+    return pieces, layout
+
+
+def text_ids(vocabulary: WordVocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``chunk_ids`` for any texts: special strings stand for themselves, and what lies between them is normalised and encoded."""
+    pieces, layout = _pieces(vocabulary, texts)
+    ids, bounds = chunk_ids(vocabulary, pieces)
+    if len(pieces) == len(texts):
+        return ids, bounds
+    parts = [[ids[bounds[x] : bounds[x + 1]] if k % 2 == 0 else np.array([x], dtype=np.int32) for k, x in enumerate(own)] for own in layout]
+    sums = np.zeros(len(texts) + 1, dtype=np.int64)
+    np.cumsum([sum(map(len, own)) for own in parts], out=sums[1:])
+    return np.concatenate([x for own in parts for x in own]), sums
+
+
+def encode_texts(vocabulary: WordVocabulary, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
+    """As ``chunk_encode`` for any texts: special strings stand for themselves, and what lies between them is normalised and encoded."""
+    pieces, layout = _pieces(vocabulary, texts)
     done = list(chunk_encode(vocabulary, pieces))
     special = {i: t.encode() for t, i in vocabulary.special.items()}
     for own in layout:
@@ -259,14 +340,9 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_c
         vocabulary = WordVocabulary.load(vocabulary_path)
         for b in batches:
             for rows, _, _ in bv.chunks(b, "text"):
-                counts, ids = [], []
-                for n, x, _ in encode_texts(vocabulary, _texts(rows)):
-                    counts.append(n)
-                    ids.append(np.array(x.split(), dtype=np.int32))
-                offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-                np.cumsum(counts, out=offsets[1:])
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield batch(out, rows.column(0).cast(pa.int64()), counts, lists)
+                ids, bounds = text_ids(vocabulary, _texts(rows))
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+                yield batch(out, rows.column(0).cast(pa.int64()), np.diff(bounds), lists)
 
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 

@@ -145,7 +145,8 @@ def model_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     if not picked:
         return fit([], [])
     # the bounded sample of ids (at most 2 x most) goes to the scan, so the documents are not shuffled
-    sample = docs.sparkSession.createDataFrame([(k,) for k in picked], "id long")
+    # as an Arrow table: a list would start Python workers of its own beside those of the operators, which stay
+    sample = docs.sparkSession.createDataFrame(pa.table({"id": pa.array(list(picked), pa.int64())}))
     texts = pick(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id", "left_semi")
     texts = texts.groupBy("id").agg(F.min("text").alias("text")).withColumn("k", F.xxhash64("id", F.lit("order")))
     rows = whole_texts(texts, most_bytes)

@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -259,9 +258,9 @@ def heads_of(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> Data
     unsure = ids.where("not head or n > 1").select(F.col("doc_id").alias("k"))
     level = urls.filter_of(unsure, min(unsure.count(), urls.FILTER_KEYS), 0, urls.BITS_PER_KEY)
 
-    @F.pandas_udf("boolean")
-    def through(key: pd.Series) -> pd.Series:
-        return pd.Series(urls.accepts(level, key.to_numpy().view(np.uint64), 0))
+    @F.arrow_udf("boolean")
+    def through(key: pa.Array) -> pa.Array:
+        return pa.array(urls.accepts(level, key.to_numpy(zero_copy_only=False).view(np.uint64), 0))
 
     own = docs[id_col]
     passes = through(F.coalesce(own.cast("long"), F.lit(0).cast("long")))
