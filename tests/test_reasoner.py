@@ -1,6 +1,7 @@
 """Rules and detectors, each on a few triples."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +183,48 @@ def test_fixpoints_against_plain_python(spark):
                 parent[a] = parent[b] = min(parent[a], parent[b])
         touched = {x for a, b in edges if a != b for x in (a, b)}
         assert {r.member: r.canonical for r in components(df, "s", "o").collect()} == {x: parent[x] for x in touched}
+
+
+def shuffled(spark):
+    """Bytes of shuffles that the session has written so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    time.sleep(0.3)  # figures of executors are published every 0.1 s, with the next task
+    spark.range(4).rdd.count()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    executors = sc.statusStore().executorList(True)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+def test_transitive_pairs_travel_few_times(spark):
+    """In a tree each pair is made once, so what is shuffled stays a few times the pairs."""
+    n = 20_000
+    tree = spark.range(1, n).select(F.concat(F.lit("c/"), F.col("id")).alias("s"), F.lit("under").alias("p"), F.concat(F.lit("c/"), F.floor(F.col("id") / 2)).alias("o"))
+    triples = tree.union(spark.createDataFrame([("under", T, v.TRANSITIVE)], rules.TRIPLE))
+    schema = rules.Schema.of(triples, Policy())
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large to be sent to all tasks
+    before = shuffled(spark)
+    facts = rules.close_assertions(rules.property_assertions(triples), schema, Policy())
+    moved = shuffled(spark) - before
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert facts.distinct().count() == facts.count() == sum(k.bit_length() for k in range(1, n))
+    start = shuffled(spark)
+    facts.repartition(4).write.format("noop").mode("overwrite").save()
+    assert moved < 4.5 * (shuffled(spark) - start)
+
+
+def test_transitive_with_other_rules(spark):
+    """Paths beside rules that feed them and rules that they feed, against a plain fixpoint."""
+    rnd = random.Random(5)
+    axioms = [("up", T, v.TRANSITIVE), ("near", T, v.TRANSITIVE), ("near", T, v.SYMMETRIC), ("step", v.SUB_PROPERTY, "up"), ("down", v.INVERSE_OF, "up"), ("up", v.CHAIN, "l1"), ("l1", v.FIRST, "up"), ("l1", v.REST, "l2"), ("l2", v.FIRST, "jump"), ("l2", v.REST, v.NIL)]
+    facts = {(f"n{rnd.randrange(14)}", rnd.choice(["step", "step", "up", "down", "near", "jump"]), f"n{rnd.randrange(14)}") for _ in range(16)}
+    expected, last = set(facts), None
+    while expected != last:
+        last = set(expected)
+        for s, p, o in last:
+            expected |= {(s, "up", o)} if p == "step" else {(o, {"up": "down", "down": "up"}[p], s)} if p in ("up", "down") else {(o, p, s)} if p == "near" else set()
+            expected |= {(s, p, y) for x, q, y in last if x == o and (p == q and p in ("up", "near") or (p, q) == ("up", "jump"))}
+    triples = spark.createDataFrame(sorted(facts) + axioms, rules.TRIPLE)
+    closed = rules.close_assertions(rules.property_assertions(triples).distinct(), rules.Schema.of(triples, Policy()), Policy())
+    assert sorted(tuple(r) for r in closed.collect()) == sorted(expected)
