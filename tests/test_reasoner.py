@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from quadloom import queries, session
 from quadloom import vocab as v
 from quadloom.operators.closure import components, reachable, transitive_closure
 from quadloom.reasoner import consistency, rules
@@ -228,3 +229,15 @@ def test_transitive_with_other_rules(spark):
     triples = spark.createDataFrame(sorted(facts) + axioms, rules.TRIPLE)
     closed = rules.close_assertions(rules.property_assertions(triples).distinct(), rules.Schema.of(triples, Policy()), Policy())
     assert sorted(tuple(r) for r in closed.collect()) == sorted(expected)
+
+
+def test_large_facts_are_dealt_to_small_tasks(spark, sf, monkeypatch):
+    """The tasks that make facts different and that find conflicts of groups grow in number with the input, not in size."""
+    few = {tuple(r) for r in queries.QUERIES["owl_all_disjoint_properties"](spark, sf).collect()}
+    monkeypatch.setattr(session, "TASK_BYTES", 2_000)
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    facts = queries.bare(li, queries.res("part", "l_partkey"), "flag", queries.res("supplier", "l_suppkey"))
+    n = session.tasks_for(facts)
+    _, _, found, _ = queries.closed(facts, [])
+    assert n > 20 and len(found.facts.inputFiles()) >= n / 2
+    assert {tuple(r) for r in queries.QUERIES["owl_all_disjoint_properties"](spark, sf).collect()} == few and few
